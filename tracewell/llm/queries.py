@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, mixing, pieces, repetition, suffix_dedup
+from . import automaton_dedup, cap_filters, mixing, pieces, repetition, suffix_dedup
 
 
 def model_path() -> str:
@@ -33,6 +33,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), length=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -50,6 +54,7 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_cap_filters": op4_cap_filters,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_repetition": op9_repetition,
     "op10_automaton_dedup": op10_automaton_dedup,
