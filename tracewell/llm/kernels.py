@@ -4,6 +4,8 @@ Everything here is a pure function of one batch or block that a Spark task holds
 polynomial modulo 2**64 over mixed symbols; two different strings share one with a chance of about 2**-64.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,11 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Elements that a hashing step holds at once; longer input is cut where it may be cut.
-PIECE = 1 << 19
+PIECE = 1 << 18
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not every C library has it
+    _trim = None
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -55,6 +61,18 @@ def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[start]) * powers(len(sums), INVERSE)[start]
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers live on and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many flags are set from at[i] to at[i + 1]; a row at a time, so no count per element is held."""
+    return np.fromiter((np.count_nonzero(flags[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), np.int64, len(at) - 1)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows and the offsets of each row; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -102,7 +120,7 @@ def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def batches(column, size: int = 4 << 20):
     """(first row, rows) such that a batch holds about size bytes and one row at least."""
-    lengths = pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths)
     i = 0
     while i < len(lengths):
