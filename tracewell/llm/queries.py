@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, cap_filters, jaccard_join, mixing, pieces, repetition, suffix_dedup
+from . import automaton_dedup, cap_filters, jaccard_join, line_dedup, mixing, pieces, repetition, suffix_dedup
 
 
 def model_path() -> str:
@@ -37,6 +37,11 @@ def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_documents(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_cap_filters": op4_cap_filters,
+    "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_repetition": op9_repetition,
