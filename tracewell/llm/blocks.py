@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a block is meant to hold.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 LEAST_BLOCKS = 32
 
 

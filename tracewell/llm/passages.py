@@ -47,6 +47,7 @@ class Block:
     """Spans of one block; which of them are the block's first of their print."""
 
     def __init__(self, table: pa.Table, unit, n: int, k: int):
+        K.release()
         self.table = by_id(table)
         self.sym, self.offsets, self.extra = unit(self.table["text"])
         ids = self.table["doc_id"]
@@ -164,6 +165,7 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
         return messages(b.send(table["block"][0].as_py(), count, 1, b.key[b.first], b.print[b.first], doc))
 
     def judge(table: pa.Table) -> pa.Table:
+        K.release()
         return answers([(block, 1, data) for block, data in settle(table, hot)])
 
     verdicts = dealt.groupBy("block").applyInArrow(announce, MESSAGE).groupBy("bucket").applyInArrow(judge, ANSWER)
@@ -195,6 +197,7 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
         return messages(rows)
 
     def decide(table: pa.Table) -> pa.Table:
+        K.release()
         kinds, rows = table["kind"].to_numpy(), []
         if (kinds == 3).any():
             rows += [(block, 3, data) for block, data in settle(table.filter(pa.array(kinds == 3)), 1 << 62)]
@@ -210,7 +213,7 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
             return cut(None, None)
         b = Block(left, unit, n, k)
         got = read(right, 1)
-        steps = np.zeros(len(b.sym) + 1, np.int64)
+        steps = np.zeros(len(b.sym) + 1, np.int32)
 
         def cover(first: np.ndarray, windows) -> None:
             np.add.at(steps, first, 1)
@@ -230,7 +233,7 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
             fresh[1:] = value[1:] != value[:-1]
             early = np.flatnonzero(fresh)[read(right, 3)[0].astype(np.int64)]
             cover(np.concatenate([at[~fresh], at[early]]), 1)
-        return cut(b, np.cumsum(steps[:-1]) > 0)
+        return cut(b, np.cumsum(steps[:-1], out=steps[:-1]) > 0)
 
     both = verdicts.unionByName(found)
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, out_schema)

@@ -195,17 +195,17 @@ def method_for(n: int):
 def cut_bytes(b: Block | None, covered: np.ndarray | None) -> pa.Table:
     if b is None:
         return OUT_SCHEMA.empty_table()
-    removed = np.concatenate([[0], np.cumsum(covered)])
+    lo, hi = b.offsets[:-1], b.offsets[1:]
+    removed = K.sums(covered, b.offsets)
     edge = covered.copy()
     edge[1:] &= ~covered[:-1]
-    inner = b.offsets[:-1][b.offsets[:-1] < len(covered)]
+    inner = lo[lo < len(covered)]
     edge[inner] = covered[inner]
-    spans = np.concatenate([[0], np.cumsum(edge)])
-    lo, hi = b.offsets[:-1], b.offsets[1:]
+    spans = K.sums(edge, b.offsets)
     rest = b.sym[~covered]
-    kept_at = np.concatenate([lo - removed[lo], [len(rest)]])
+    kept_at = np.concatenate([[0], np.cumsum(hi - lo - removed)])
     kept = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(kept_at.astype(np.int32).tobytes()), pa.py_buffer(rest.tobytes())])
-    return pa.Table.from_arrays([b.table["doc_id"].combine_chunks(), pa.array(hi - lo), pa.array(removed[hi] - removed[lo]), pa.array(spans[hi] - spans[lo]), kept], schema=OUT_SCHEMA)
+    return pa.Table.from_arrays([b.table["doc_id"].combine_chunks(), pa.array(hi - lo), pa.array(removed), pa.array(spans), kept], schema=OUT_SCHEMA)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text: str = "text", hot: int | None = None, blocks: int | None = None) -> DataFrame:
