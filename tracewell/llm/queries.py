@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, cap_filters, jaccard_join, line_dedup, mixing, pieces, repetition, suffix_dedup
+from . import automaton_dedup, cap_filters, jaccard_join, line_dedup, mixing, page_text, pieces, repetition, suffix_dedup
 
 
 def model_path() -> str:
@@ -51,6 +51,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_page_text": op8_page_text,
     "op9_repetition": op9_repetition,
     "op10_automaton_dedup": op10_automaton_dedup,
 }
