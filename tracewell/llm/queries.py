@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, cap_filters, jaccard_join, line_dedup, mixing, page_text, pieces, repetition, suffix_dedup
+from . import automaton_dedup, cap_filters, jaccard_join, line_dedup, mixing, page_text, pieces, pii, repetition, suffix_dedup
 
 
 def model_path() -> str:
@@ -23,6 +23,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode_decode(table(spark, sf_dir, "documents"), model_path())
     return out.select(
@@ -66,6 +70,7 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_cap_filters": op4_cap_filters,
     "op5_line_dedup": op5_line_dedup,
