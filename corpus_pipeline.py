@@ -1,13 +1,63 @@
-"""A training corpus from documents: quality rules, line dedup, near-duplicate removal, mixing, encoding."""
+"""A training corpus from documents: quality rules, line dedup, near-duplicate removal, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm import jaccard_join, line_dedup, mixing, pieces, queries, repetition
+from tracewell.llm.tables import shared_folder
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules keep. Rows of one doc_id and text share a verdict; a null doc_id is kept by its text's."""
+    verdict = repetition.repetition_rules(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    rejected = docs.join(verdict, docs.doc_id.eqNullSafe(verdict["__id"]), "left_anti")
+    return rejected.select(*docs.columns)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that occur earlier; those with no line left go. n_chars follows the text."""
+    out = line_dedup.dedupe_lines(docs)
+    out = out.filter((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed_lines") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, similarity 0.8): that of the least doc_id."""
+    member = jaccard_join.near_documents(docs, n=5, num=8, den=10).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(member, docs.doc_id == member["__id"], "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each document and pass that takes any of it, with the words taken."""
+    return mixing.mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, decoded) of each document of the mix."""
+    return pieces.encode_decode(docs, queries.model_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", encoding),
+]
+#: Line dedup by edit distance and the merge encoding are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs
