@@ -72,15 +72,11 @@ class Lines:
         return self.data[self.start[line] : self.end[line]].tobytes()
 
 
-def segments(length: int, most: int) -> list[tuple[int, int]]:
-    """Start and length of most + 1 even parts, the longer ones last."""
-    base, extra = divmod(length, most + 1)
-    out, at = [], 0
-    for i in range(most + 1):
-        n = base + (i >= most + 1 - extra)
-        out.append((at, n))
-        at += n
-    return out
+def segment(length: np.ndarray, i: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the i-th of most + 1 even parts, the longer ones last."""
+    base, extra = np.divmod(np.maximum(length, 0), most + 1)
+    longer = most + 1 - extra
+    return i * base + np.maximum(0, i - longer), base + (i >= longer)
 
 
 def keys(lines: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,25 +93,25 @@ def keys(lines: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     sums = K.prefix(flat)
     out_key, out_line, out_probe = [], [], []
 
-    def put(at: np.ndarray, start: np.ndarray, n: np.ndarray, length: int, part: int, probe: bool) -> None:
-        name = U(K.BASE * (length * 64 + part + 1) % (1 << 64))
+    def put(at: np.ndarray, start: np.ndarray, n: np.ndarray, length: np.ndarray, part: int, probe: bool) -> None:
+        name = U(K.BASE) * (length.astype(U) * U(64) + U(part + 1))
         out_key.append(K.mix(K.ranges(sums, offset[at] + start, offset[at] + start + n) + name))
         out_line.append(at)
         out_probe.append(np.full(len(at), probe))
 
-    order = np.argsort(size, kind="stable")
-    cuts = np.flatnonzero(np.diff(size[order])) + 1
-    for at in np.split(order, cuts) if len(order) else []:
-        length = int(size[at[0]])
-        for i, (p, n) in enumerate(segments(length, most)):
-            put(at, p, n, length, i, False)
-        for less in range(min(most, length - 1) + 1):
-            shorter = length - less
-            for i, (p, n) in enumerate(segments(shorter, most)):
-                low = max(0, p - i, p + less - (most - i))
-                high = min(length - n, p + i, p + less + (most - i))
-                for s in range(low, high + 1):
-                    put(at, s, n, shorter, i, True)
+    every = np.arange(len(lines))
+    for less in range(most + 1):
+        length = size - less
+        for i in range(most + 1):
+            p, n = segment(length, i, most)
+            if less == 0:
+                put(every, p, n, length, i, False)
+            low = np.maximum(0, np.maximum(p - i, p + less - (most - i)))
+            high = np.minimum(size - n, np.minimum(p + i, p + less + (most - i)))
+            for d in range(-most, 2 * most + 1):
+                at = np.flatnonzero((length > 0) & (p + d >= low) & (p + d <= high))
+                if len(at):
+                    put(at, p[at] + d, n[at], length[at], i, True)
     if not out_key:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool), profile
     return np.concatenate(out_key), np.concatenate(out_line), np.concatenate(out_probe), profile
@@ -235,9 +231,11 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
             return messages([])
         b, block, rows = Lines(left, id_col, text, least), left["__block"][0].as_py(), []
         own = np.flatnonzero(firsts(b, right))
-        step = 4000
-        for lo in range(0, len(own), step):
-            part = own[lo : lo + step]
+        ends = np.cumsum(b.chars[b.first[own]])
+        lo = 0
+        while lo < len(own):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + K.PIECE, "right")))
+            part, lo = own[lo:hi], hi
             key, line, probe, profile = keys([b.text(x) for x in b.first[part]], most)
             to = bucket_of(key, count)
             order = np.argsort(to, kind="stable")

@@ -11,6 +11,7 @@ encoded once per worker (the table of parts has a bound and is emptied when full
 
 import heapq
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 SPACE = "▁"
-PARTS = 150_000
+PARTS = 250_000
 #: Longer parts are rare and not kept.
 PART_CHARS = 64
 OUT = "doc_id long, ids array<int>, decoded string"
@@ -56,8 +57,9 @@ class Pieces:
                     self.rank[piece] = -model.get_score(i)
         self.automaton = ahocorasick.Automaton()
         for piece in self.id:
-            self.automaton.add_word(piece, piece)
+            self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
+        self.single = {p for p in self.id if len(p) == 1}
         #: The longest piece that is a proper prefix of a piece.
         self.shorter: dict[str, str | None] = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id), None) for p in self.id}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -93,61 +95,64 @@ class Pieces:
     def run(self, text: str) -> list[str]:
         """Segmentation of a text whose characters are all pieces."""
         longest: list[str] = list(text)
-        for end, piece in self.automaton.iter(text):
-            start = end - len(piece) + 1
-            if len(piece) > len(longest[start]):
-                longest[start] = piece
-        open_ = np.ones(len(text) + 1, bool)  # the bitfield: positions from which no segmentation has failed yet
+        for end, (n, piece) in self.automaton.iter(text):
+            longest[end - n] = piece  # ends ascend, so the last for a start is the longest
+        failed = 0  # the bitfield: positions from which every segmentation fails
         out: list[str] = []
-        at = 0
+        at, size, last = 0, len(text), None
+        known, shorter = self.pairs, self.shorter
         token: str | None = longest[0]
         while True:
             end = at + len(token)
-            if open_[end] and (not out or self.goes(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == len(text):
-                    return out
-                token = longest[at]
-                continue
-            token = self.shorter[token]
+            if not failed >> end & 1:
+                ok = last is None or known.get((last, token))
+                if ok is None:
+                    ok = self.goes(last, token)
+                if ok:
+                    out.append(token)
+                    if end == size:
+                        return out
+                    at, last, token = end, token, longest[end]
+                    continue
+            token = shorter[token]
             while token is None:
-                open_[at] = False
+                failed |= 1 << at
                 last = out.pop()
                 at -= len(last)
-                token = self.shorter[last]
+                token = shorter[last]
+                last = out[-1] if out else None
 
     def encode_part(self, part: str) -> bytes:
         ids: list[int] = []
+        if self.single.issuperset(part):
+            ids = [self.id[p] for p in self.run(part)]
+            return array("i", ids).tobytes()
         lo = 0
         for i in range(len(part) + 1):
-            if i == len(part) or part[i] not in self.id:
+            if i == len(part) or part[i] not in self.single:
                 if i > lo:
                     ids += [self.id[p] for p in self.run(part[lo:i])]
                 if i < len(part):  # a character that is no piece stands alone, as its bytes
                     ids += [self.bytes_id[b] for b in part[i].encode()]
                 lo = i + 1
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as 32-bit integers; a space stands before the text, as in the model's own encoding."""
         if not text:
             return b""
         parts, known = self.part.findall(SPACE + text.replace(" ", SPACE)), self.parts
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            out = []
-            for p in parts:
-                ids = known.get(p)
+        out = [known.get(p) for p in parts]
+        if None in out:
+            for i, ids in enumerate(out):
                 if ids is None:
-                    ids = self.encode_part(p)
+                    p = parts[i]
+                    ids = out[i] = known.get(p) or self.encode_part(p)
                     if len(p) <= PART_CHARS:
                         if len(known) >= PARTS:
                             known.clear()
                         known[p] = ids
-                out.append(ids)
-            return b"".join(out)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the pieces, without the space put before the text."""
