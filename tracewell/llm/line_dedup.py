@@ -16,6 +16,7 @@ Which of two near lines goes depends on their first places only, so the result d
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -199,6 +200,8 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
     count = blocks or block_count(docs, text)
     docs = docs.drop("n_lines", "n_removed_lines", "__block")
     dealt = docs.withColumn(text, F.col(text).cast("string")).withColumn("__block", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(count)))
+    # four steps read the blocks: dealt out once and kept on disk; what a lost executor held is dealt anew
+    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__block").persist(StorageLevel.DISK_ONLY)
 
     def announce(table: pa.Table) -> pa.Table:
         b, block = Lines(table, id_col, text, least), table["__block"][0].as_py()
