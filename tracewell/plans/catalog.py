@@ -1,19 +1,6 @@
-"""Registered queries for the recording, telemetry and graph operators, with their SQL equivalents."""
+"""All registered queries of the recording, telemetry and graph operators, with their SQL equivalents."""
 
-from collections.abc import Callable
+from . import asof_queries, graph_queries, profile_queries, relational_queries, spatial_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    g = e.groupBy(F.col("event_type").alias("stream")).agg(F.count("*").alias("n"), F.min(ts).alias("start_us"), F.max(ts).alias("end_us"))
-    return g
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"stream_summary": stream_summary}
-ORACLE_SQL: dict[str, str] = {
-    "stream_summary": "SELECT event_type AS stream, count(*) AS n, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS end_us FROM events GROUP BY event_type",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
