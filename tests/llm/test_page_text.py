@@ -38,6 +38,24 @@ def test_template_of_a_host_without_article_elements(spark):
         assert got[i].text == f"Story {i} has words {i * 7}.\n\nMore of {i}, a second part of it."
 
 
+def test_template_inside_articles(spark):
+    rows, story = [], lambda i: f"Story {i} has words {i * 7}, and more of {i} is told in a second part of it."
+    for i in range(12):  # boilerplate under neutral names, before and after the slots
+        article = f"<p>Welcome to our daily page</p><div class='box'><p>{story(i)}</p></div><p>All that is here was told by us.</p>"
+        rows.append((i, f"https://www.shop.example/{i}", f"<html><body><p>Top</p><article>{article}</article></body></html>"))
+    parts = [f"Part {j} of one long article, which is told at some length {'and on ' * j}." for j in range(6)]
+    whole = "".join(f"<p>{p}</p>" for p in parts)
+    for i in range(4):  # copies of one article are no template
+        rows.append((100 + i, f"https://copies.example/{i}", f"<html><body><p>Top</p><article>{whole}</article></body></html>"))
+        rows.append((200 + i, f"https://near.example/{i}", f"<html><body><p>Top</p><article>{whole}<p>Line {i}.</p></article></body></html>"))
+    got = run(spark, rows)
+    for i in range(12):
+        assert got[i].text == story(i) and got[i].n_chars == len(story(i))
+    for i in range(4):
+        assert got[100 + i].text == "\n\n".join(parts)
+        assert got[200 + i].text == "\n\n".join([*parts, f"Line {i}."])
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="tables are not here")
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

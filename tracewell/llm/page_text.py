@@ -3,12 +3,15 @@
 A page is a sequence of tokens: tags and text nodes, each told apart by its path of open elements. Pages of one host come
 from one template, so a template's tokens share their occurrence vector: how often they occur in each of the host's
 pages. Vectors are folded into 64 bits with a commutative sum as tokens are counted, so a host with a third of all pages
-is counted in parts like any other. Classes of two tokens or more that occur in most of a host's pages are valid; nested by
-their paths they are its template. What lies between is slots. The article element is the main slot where a page has
-one; else the deepest template container that holds most of the host's slot text. Template text outside an article is
-dropped, as are regions that by element, role or class are not the article.
+is counted in parts like any other. Classes of two tokens or more that occur in most of a host's pages, and with different
+articles, are valid; told apart by their paths they are its template. What lies between is slots. The article element
+is the main slot where a page has one; else the deepest template container that holds most of the host's slot text.
+Template text is dropped inside the main slot (by whole blocks in an article) as outside, as are regions that by element, role or class are not the
+article. Copies of an article share its text as they share a template's: copies count as one page, and an article that
+the template would leave little of is kept as it is.
 """
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -45,6 +48,8 @@ NOT_MAIN = set(
     "replies widget toolbar pagination pager login signup complementary contentinfo search".split()
 )
 MOST_PAGES, LEAST_PAGES, MAIN_SHARE = 0.5, 3, 0.6
+#: Least share of an article's characters that its slots hold, where a host's template is of few pages and where of MANY_PAGES.
+FEW_SHARE, MANY_SHARE, MANY_PAGES = 0.5, 0.2, 8
 #: Hosts up to which the templates are broadcast (about 1 kB each).
 BROADCAST_HOSTS = 5000
 
@@ -104,18 +109,36 @@ class Page:
             stack.append((name, path, article, off))
         self.has_main = any(t[2] for t in self.texts) or self.has_article
 
-    def main_text(self, constant: set[int], containers: list[tuple[int, int]]) -> str:
-        """The article; without one, the main container's slots, or all that is not of another region."""
+    def kept(self) -> list[tuple]:
+        """The text nodes that are not of another region: the article's, where there is one."""
+        return [t for t in self.texts if not t[3] and (t[2] or not self.has_main)]
+
+    def content(self) -> int:
+        """64 bits of the text of kept()."""
+        text = " ".join(" ".join(t[4] for t in self.kept()).split())
+        return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+
+    def main_text(self, constant: set[int], containers: list[tuple[int, int]], support: int) -> str:
+        """The slots of the article; without one, of the main container, or all that is not of another region."""
         blocks: dict[int, list[str]] = {}
         here = None
         if not self.has_main and containers:
             own = [(c, t) for t, c in containers if t in set(self.tags)]
             most = max((c for c, _ in own), default=0)
             here = min(((c, t) for c, t in own if c >= MAIN_SHARE * most and c > 0), default=(0, None))[1]
-        for path, block, article, off, text, above in self.texts:
-            if off or (self.has_main and not article):
-                continue
-            if not self.has_main and ((here is not None and above and here not in above) or text_token(path, text) in constant):
+        kept = self.kept()
+        if constant:
+            slots = [t for t in kept if text_token(t[0], t[4]) not in constant]
+            if self.has_main:
+                # by whole blocks: a short piece between inline elements may be like another by chance
+                own = {t[1] for t in slots if t[4].strip()}
+                slots = [t for t in kept if t[1] in own]
+                least = MANY_SHARE if support >= MANY_PAGES else FEW_SHARE
+                whole, left = (sum(len(t[4].strip()) for t in ts) for ts in (kept, slots))
+                slots = slots if left >= least * whole else kept
+            kept = slots
+        for _, block, _, _, text, above in kept:
+            if here is not None and above and here not in above:
                 continue
             blocks.setdefault(block, []).append(text)
         out = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
@@ -160,8 +183,8 @@ def text_token(path: int, text: str) -> int:
     return _slow_hash(f"{path} {' '.join(text.split())}")
 
 
-STATS = "host string, kind int, token long, vector long, support long, total long, chars long"
-STATS_SCHEMA = pa.schema([("host", pa.string()), ("kind", pa.int32())] + [(x, pa.int64()) for x in ("token", "vector", "support", "total", "chars")])
+STATS = "host string, kind int, token long, vector long, support long, total long, chars long, seen long, also long"
+STATS_SCHEMA = pa.schema([("host", pa.string()), ("kind", pa.int32())] + [(x, pa.int64()) for x in ("token", "vector", "support", "total", "chars", "seen", "also")])
 TEXT = "page_id long, url string, text string, n_chars long"
 TEXT_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -169,7 +192,7 @@ TEXT_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text",
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages.
 
-    text: the article's blocks in page order, joined by two \\n; character references are decoded, white space within a
+    text: the article's blocks in page order without its host's template, joined by two \\n; character references are decoded, white space within a
     block is one space, block ends are trimmed, empty blocks are left out. Empty where there is none, or html is null or
     empty; n_chars counts its code points. Pages whose url is null or has no host share one host; rows that repeat an id
     are taken each; an empty table gives an empty result; other columns are ignored.
@@ -181,25 +204,32 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
         for part in parts:
             seen: dict[tuple[str, int, int], list[int]] = {}
             for i, (name, text) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
-                tags, texts, chars = Page(text or "").tokens()
+                page = Page(text or "")
+                tags, texts, chars = page.tokens()
+                # two marks of the content among 64 each: tokens of few marks occur in copies of few pages
+                content = page.content()
+                seen_bit, also_bit = 1 << (content & 63), 1 << (content >> 6 & 63)
                 # the page stands for itself in the vector by its id and content
                 own = hash_of(f"{part.column('page_id')[i].as_py()} {len(text or '')}")
                 for kind, counter in ((0, tags), (1, texts)):
                     for token, n in counter.items():
-                        row = seen.setdefault((name, kind, token), [0, 0, 0, 0])
+                        row = seen.setdefault((name, kind, token), [0, 0, 0, 0, 0, 0])
                         row[0] ^= (own * (2 * n + 1) + n * K.BASE) & (1 << 64) - 1
                         row[1] += 1
                         row[2] += n
                         row[3] += chars[token] if kind == 0 else 0
-                row = seen.setdefault((name, 2, 0), [0, 0, 0, 0])
+                        row[4] |= seen_bit
+                        row[5] |= also_bit
+                row = seen.setdefault((name, 2, 0), [0, 0, 0, 0, 0, 0])
                 row[1] += 1
-            keys, values = list(seen), np.array(list(seen.values()), dtype=object).reshape(-1, 4)
-            vector = pa.array(values[:, 0].astype(U).view(np.int64))
+            keys, values = list(seen), np.array(list(seen.values()), dtype=object).reshape(-1, 6)
+            vector, *marks = (pa.array(values[:, c].astype(U).view(np.int64)) for c in (0, 4, 5))
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), vector]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(values[:, c].astype(np.int64)) for c in (1, 2, 3))], schema=STATS_SCHEMA)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(values[:, c].astype(np.int64)) for c in (1, 2, 3)), *marks], schema=STATS_SCHEMA)
 
-    stats = base.mapInArrow(count, STATS).groupBy("host", "kind", "token").agg(F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("support", "total", "chars")])
-    stats = settled(stats.filter((F.col("kind") == 2) | (F.col("support") >= LEAST_PAGES)))
+    stats = base.mapInArrow(count, STATS).groupBy("host", "kind", "token").agg(F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("support", "total", "chars")], *[F.bit_or(c).alias(c) for c in ("seen", "also")])
+    differ = F.greatest(F.bit_count("seen"), F.bit_count("also")) >= LEAST_PAGES
+    stats = settled(stats.filter((F.col("kind") == 2) | ((F.col("support") >= LEAST_PAGES) & differ)))
     sizes = stats.filter("kind = 2").select("host", F.col("support").alias("pages"))
     often = stats.filter("kind < 2").join(sizes, "host").filter(F.col("support") > MOST_PAGES * F.col("pages"))
     classes = often.groupBy("host", "vector", "support", "total").agg(F.count("*").alias("size")).filter("size > 1")
@@ -208,6 +238,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
         valid.groupBy("host").agg(
             F.collect_list(F.when(F.col("kind") == 1, F.col("token"))).alias("constant"),
             F.collect_list(F.when(F.col("kind") == 0, F.struct("token", "chars"))).alias("containers"),
+            F.max(F.greatest(F.bit_count("seen"), F.bit_count("also"))).cast("long").alias("support"),
         )
     )
     if templates.count() <= BROADCAST_HOSTS:
@@ -218,8 +249,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
             for at, n in K.batches(part.column("html"), 2 << 20):
                 p = part.slice(at, n)
                 texts = []
-                for text, constant, containers in zip(p.column("html").to_pylist(), p.column("constant").to_pylist(), p.column("containers").to_pylist(), strict=True):
-                    texts.append(Page(text or "").main_text(set(constant or ()), [(c["token"], c["chars"]) for c in containers or ()]))
+                for text, constant, containers, support in zip(*(p.column(c).to_pylist() for c in ("html", "constant", "containers", "support")), strict=True):
+                    texts.append(Page(text or "").main_text(set(constant or ()), [(c["token"], c["chars"]) for c in containers or ()], support or 0))
                 yield pa.RecordBatch.from_arrays([p.column("page_id"), p.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=TEXT_SCHEMA)
 
-    return base.join(templates, "host", "left").select("page_id", "url", "html", "constant", "containers").mapInArrow(extract, TEXT)
+    return base.join(templates, "host", "left").select("page_id", "url", "html", "constant", "containers", "support").mapInArrow(extract, TEXT)
