@@ -6,18 +6,16 @@ one's docs. All but the last return the columns of documents.
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import jaccard_join, line_dedup, mixing, pieces, queries, repetition
-from tracewell.llm.tables import shared_folder
+from tracewell.llm.tables import settled, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep. Rows of one doc_id and text share a verdict; a null doc_id is kept by its text's."""
-    verdict = repetition.repetition_rules(docs).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    rejected = docs.join(verdict, docs.doc_id.eqNullSafe(verdict["__id"]), "left_anti")
-    return rejected.select(*docs.columns)
+    """Documents that the repetition rules keep. Each row is judged by its own text, so ids may repeat or be null."""
+    return repetition.kept_rows(docs).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +26,25 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): that of the least doc_id."""
-    member = jaccard_join.near_documents(docs, n=5, num=8, den=10).filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(member, docs.doc_id == member["__id"], "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates (five words, similarity 0.8): that of the least doc_id, null last.
+
+    Rows are told apart by a hash of doc_id and text. Rows alike in both are copies, of which one stays, unless they hold no word.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    near = jaccard_join.near_documents(keyed, n=5, num=8, den=10, id_col="__key").filter("n_shingles > 0")
+    near = settled(near.groupBy(F.col("doc_id").alias("__key"), "component_id").agg(F.count("*").alias("rows")))
+    groups = near.groupBy("component_id").agg(F.count("*").alias("keys")).filter("keys > 1")
+    members = near.join(groups, "component_id").select("component_id", "__key")
+    # a key's rows have one doc_id
+    ranked = keyed.select("__key", "doc_id").join(members, "__key").select("component_id", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__key").alias("rank"))
+    winners = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("component_id", F.col("rank.__key").alias("winner"))
+    marked = near.join(winners, "component_id", "left").withColumn("stays", F.col("__key") == F.coalesce("winner", "__key"))
+    marked = settled(marked.filter("NOT stays OR rows > 1").select("__key", "stays"))
+    out = keyed.join(marked, "__key", "left")
+    alone = out.filter("stays IS NULL").select(*docs.columns)
+    copies = out.filter("stays")
+    order = Window.partitionBy("__key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")])
+    return alone.unionByName(copies.withColumn("__copy", F.row_number().over(order)).filter("__copy = 1").select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,32 @@ def test_run(spark, tmp_path):
     assert out.count() > 0 and out.columns == ["doc_id", "ids", "decoded"]
 
 
+def test_repeated_and_null_ids(spark):
+    import random
+
+    r = random.Random(9)
+    words = lambda: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c, d, e, f, g = (words() for _ in range(7))
+    rows = [
+        (1, " ".join(a), "kept: an equal id fails"), (1, "few words", "fails"), (None, " ".join(b), "kept: a null id fails"), (None, "x y z " * 60, "fails"),
+        (2, " ".join(c), "kept"), (3, near(c), "near copy"), (3, " ".join(d), "kept: an equal id is a near copy"),
+        (4, " ".join(e), "kept of equal rows"), (4, " ".join(e), "kept of equal rows"),
+        (None, " ".join(f), "kept of null ids"), (None, near(f), "kept of null ids"), (5, " ".join(g), "kept before null"), (None, near(g), "near copy"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    good = corpus_pipeline.quality_rules(spark, docs, "")
+    assert sorted(x.source for x in good.collect()) == sorted(s for _, _, s in rows if s != "fails")
+    out = corpus_pipeline.near_duplicates(spark, good, "")
+    assert out.columns == COLUMNS
+    assert sorted(x.source for x in out.collect()) == sorted({s for _, _, s in rows if s.startswith("kept")})
+
+
+def test_rows_without_words_stay(spark):
+    docs = spark.createDataFrame([(1, None, "en", "a", 0), (1, None, "en", "a", 0), (None, "", "en", "a", 0), (None, "", "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 4
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:

@@ -132,3 +132,15 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
                 yield measure(part.column("doc_id").slice(at, n), part.column("text").slice(at, n))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, OUT)
+
+
+def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs that repetition_rules keeps, each judged by its own text, whatever its other columns hold."""
+
+    def run(parts):
+        for part in parts:
+            column = part.column(text)
+            for at, n in K.batches(column):
+                yield part.slice(at, n).filter(measure(pa.nulls(n, pa.int64()), column.slice(at, n)).column("kept"))
+
+    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, docs.withColumn(text, F.col(text).cast("string")).schema)
