@@ -73,5 +73,20 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(c.of(x), c.of(y)))
 
 
+def test_null_and_repeated_ids(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = lambda k, *new: " ".join([*words[k].split()[: 60 - len(new)], *new])
+    rows = [
+        (None, words[0]), (7, near(0, "x")), (None, near(0, "y")),  # null ids link with another
+        (None, words[1]), (None, near(1, "x")), (None, words[2]), (None, ""),  # they reach no doc_id
+        (5, words[3]), (5, words[4]), (3, near(3, "x")), (9, near(4, "x")), (None, words[5]), (8, words[5]),  # two sets of one id are no link
+    ]
+    want = [7, 7, 7, None, None, None, None, 3, 5, 3, 5, 8, 8]
+    for region in (1200, 2):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = [tuple(r) for r in near_documents(df, 3, 90, 100, region=region).collect()]
+        assert sorted(got, key=str) == sorted(((d, len(shingles(t, 3)), c) for (d, t), c in zip(rows, want)), key=str)
+
+
 def test_empty(spark):
     assert near_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []

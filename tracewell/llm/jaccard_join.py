@@ -9,7 +9,8 @@ radii farther (by the triangle inequality no link is lost); regions are divided
 what is left too large is met in blocks. Links are decided by exact intersection counts.
 
 Signatures are folded where they arise (one row per batch of documents and signature goes on), so a class that a third
-of all documents share is never one task, and nothing is emitted per pair. Elements are 64-bit hashes of n-grams.
+of all documents share is never one task, and nothing is emitted per pair. Elements are 64-bit hashes of n-grams. A set
+goes by a 64-bit hash of its own, not by a doc_id, which may be null or have several sets.
 """
 
 import numpy as np
@@ -32,8 +33,8 @@ SLIM = "doc_id long, n long, h1 long, h2 long, signatures binary"
 SLIM_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("signatures", pa.binary())])
 PAIR = "a long, b long"
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-SETS = "doc_id long, region long, h1 long, h2 long, elements binary"
-SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("region", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("elements", pa.binary())])
+SETS = "doc_id long, h1 long, h2 long, elements binary"
+SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("elements", pa.binary())])
 
 
 def shingles(column, n: int) -> list[np.ndarray]:
@@ -140,8 +141,7 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     A document's set holds its distinct n-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case); fewer words
     are one shingle. Two documents link if intersection * den >= union * num. component_id is the least doc_id reachable
     by links, itself included. Null or empty texts have an empty set and link with nothing; rows that repeat a doc_id are
-    taken each; rows of null doc_id link as others, with null as their own component where they link with nothing;
-    an empty table gives an empty result; other columns are ignored.
+    taken each; rows of null doc_id link as others, with null as their component where they reach no doc_id; an empty table gives an empty result; other columns are ignored.
     """
     classes = Classes(num, den)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -158,6 +158,7 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
 
     every = settled(base.mapInArrow(slim, SLIM))
     full = every.filter("n > 0")
+    # rep says where the set's text is (null: in rows of null doc_id only); h1 is its name
     reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("signatures").alias("signatures"))
     total = reps.agg(F.sum(F.octet_length("signatures"))).first()[0] or 0
     buckets = max(24, int(total) // (8 << 20))
@@ -167,8 +168,8 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
         for part in parts:
             for at, count in K.batches(part.column("signatures"), 8 << 20):
                 sig = [np.frombuffer(x, U) for x in part.column("signatures").slice(at, count).to_pylist()]
-                rep = part.column("rep").slice(at, count).to_numpy()
-                own = np.repeat(rep, [len(s) for s in sig])
+                name = part.column("h1").slice(at, count).to_numpy()
+                own = np.repeat(name, [len(s) for s in sig])
                 yield from chained(np.concatenate(sig) if sig else np.zeros(0, U), own, buckets)
 
     def chained(sig: np.ndarray, own: np.ndarray, to: int):
@@ -201,9 +202,10 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
             for x in part.column("data").to_pylist():
                 yield from pairs(np.frombuffer(x, np.int64).reshape(2, -1)).to_batches()
 
-    sent = settled(reps.select("rep", "signatures").mapInArrow(announce, "bucket long, data binary"))
+    sent = settled(reps.select("h1", "signatures").mapInArrow(announce, "bucket long, data binary"))
     agree = sent.filter("bucket < 0").mapInArrow(unpack, PAIR).unionByName(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(meet, PAIR))
-    regions = components(agree, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
+    regions = components(agree, "a", "b").select(F.col("node").alias("h1"), F.col("component").alias("region"))
+    needed = settled(reps.select("h1", "h2", "rep").join(regions, "h1"))
 
     def elements(parts):
         for part in parts:
@@ -211,15 +213,23 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
                 sets = shingles(part.column("text").slice(at, count), n)
                 h = np.array([[K.mix(s).sum(dtype=U), K.mix(s ^ U(K.BASE)).sum(dtype=U)] for s in sets], U).reshape(-1, 2)
                 h = K.mix(h + np.array([len(s) for s in sets], U)[:, None]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, count), part.column("region").slice(at, count), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], schema=SETS_SCHEMA)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, count), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], schema=SETS_SCHEMA)
             K.release()
 
-    # a row that repeats a doc_id may have another set: only the set that stands for the id counts
-    sets = base.join(regions, "doc_id").mapInArrow(elements, SETS).join(reps.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    sets = settled(sets.dropDuplicates(["h1", "h2"]).select("region", F.col("doc_id").alias("rep"), "elements", F.lit(True).alias("home")))
+    # a row that repeats a doc_id may have another set: only the sets that the id stands for count
+    at = needed.filter("rep IS NOT NULL")
+    sets = base.join(at.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(elements, SETS).join(at.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"])
+    sets = sets.select("h1", "h2", "region", "elements")
+    nowhere = needed.filter("rep IS NULL")
+    if not nowhere.isEmpty():
+        sets = sets.unionByName(base.filter("doc_id IS NULL").mapInArrow(elements, SETS).join(nowhere, ["h1", "h2"]).select("h1", "h2", "region", "elements"))
+    sets = settled(sets.dropDuplicates(["h1", "h2"]).select("region", F.col("h1").alias("rep"), "elements", F.lit(True).alias("home")))
     found = join_regions(sets, num, den, region)
-    groups = components(found, "a", "b")
-    known = reps.select("h1", "h2", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    # the least doc_id of a component, told to its sets
+    groups = settled(components(found, "a", "b").withColumnRenamed("node", "h1").join(needed.select("h1", "rep"), "h1"))
+    least = groups.groupBy("component").agg(F.min("rep").alias("least"))
+    told = groups.join(least, "component").select("h1", "least")
+    known = reps.select("h1", "h2", "rep").join(told, "h1", "left").select("h1", "h2", F.coalesce("least", "rep").alias("component_id"))
     linked = full.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return linked.unionByName(every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
