@@ -56,6 +56,18 @@ def test_template_inside_articles(spark):
         assert got[200 + i].text == "\n\n".join([*parts, f"Line {i}."])
 
 
+def test_article_parts_with_ordinary_words_and_unclosed_elements(spark):
+    page = """<body><article><h2 id='social-impact'>Impact</h2><section id='related-work'><p>Work</p></section><p id='search-method'>Method</p>
+    <p class='notice'>Note</p><svg class=i /><p>After svg</p><svg><text>no</text></svg><button>no</button><p>Then</p><button><p>After button</p><canvas><p>End</p></article></body>"""
+    got = run(spark, [(1, "http://a.example/1", page), (2, "http://b.example/1", "<body><h2 id='social-impact'>Impact</h2><p>Text</p></body>")])
+    assert got[1].text == "Impact\n\nWork\n\nMethod\n\nNote\n\nAfter svg\n\nThen\n\nAfter button\n\nEnd"
+    assert got[2].text == "Impact\n\nText"
+    # a box that the host's template has is no part of the article
+    story = lambda i: f"Story {i} is told here in {i * 7} words or more than that."
+    rows = [(i, f"http://c.example/{i}", f"<body><article><p>{story(i)}</p><div class='related'><p>See story {i * 3}</p></div></article></body>") for i in range(6)]
+    assert all(r.text == story(i) for i, r in run(spark, rows).items())
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="tables are not here")
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

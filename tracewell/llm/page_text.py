@@ -27,7 +27,7 @@ from .tables import settled
 U = np.uint64
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|select|button|textarea|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|iframe|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
@@ -47,6 +47,14 @@ NOT_MAIN = set(
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus respond "
     "replies widget toolbar pagination pager login signup complementary contentinfo search".split()
 )
+#: Words of a class or role that an article's own parts may bear as well: they tell only where the template has the element.
+ORDINARY = set("search social related recommended respond alert notice notices notification promo promotion replies comment banner overlay widget menu".split())
+#: Ids of readers' comments; inside an article no other id tells.
+COMMENT_IDS = {"comments", "commentlist", "disqus_thread", "respond"}
+#: Elements whose ids name what they are about.
+NAMED_BY_TOPIC = set("h1 h2 h3 h4 h5 h6 p section li dt dd td th a span".split())
+#: Elements whose text is not shown as text, or is a control's.
+HIDDEN = set("template svg select button object canvas".split())
 MOST_PAGES, LEAST_PAGES, MAIN_SHARE = 0.5, 3, 0.6
 #: Least share of an article's characters that its slots hold, where a host's template is of few pages and where of MANY_PAGES.
 FEW_SHARE, MANY_SHARE, MANY_PAGES = 0.5, 0.2, 8
@@ -61,6 +69,8 @@ class Page:
         #: (path hash, block number, inside an article or main element, in a region that is not main, text, containers)
         self.texts: list[tuple[int, int, bool, bool, str, tuple[int, ...]]] = []
         self.tags: list[int] = []
+        #: Containers inside an article that are of another region if the template has them.
+        self.doubtful: set[int] = set()
         self.has_article = False
         stack: list[tuple[str, int, bool, bool]] = []  # element, path hash, article above, not main above
         block = 0
@@ -86,6 +96,12 @@ class Page:
                 path, article, off = stack[-1][1:] if stack else (0, False, False)
                 self.texts.append((path, block, article, off, " ", ()))
                 continue
+            if name in HIDDEN:
+                if name == "svg" and m.group(4).endswith("/"):
+                    continue
+                end = re.compile(rf"<(/?){name}\b", re.I).search(source, m.end())
+                if end is None or (name in ("button", "select") and not end[1]):
+                    continue  # never closed: what follows is not its content
             if name not in INLINE:
                 block += 1
             for i in range(len(stack) - 1, -1, -1):
@@ -98,14 +114,20 @@ class Page:
                 continue
             path, article, off = stack[-1][1:] if stack else (0, False, False)
             attributes = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(m.group(4))} if m.group(4) else {}
-            named = {w for v in attributes.values() for w in WORDS.split(v)}
-            off = off or name in ASIDE or bool(named & NOT_MAIN) or (not article and (name == "header" or "header" in named))
+            named = {w for k, v in attributes.items() if k != "id" for w in WORDS.split(v)}
+            ids = attributes.get("id", "")
+            if not article and name not in NAMED_BY_TOPIC:
+                named |= set(WORDS.split(ids))
+            told = named & NOT_MAIN - ORDINARY if article else named & NOT_MAIN
+            off = off or name in ASIDE or name in HIDDEN or bool(told) or ids in COMMENT_IDS or (not article and (name == "header" or "header" in named))
             if name in ("article", "main") and not off:
                 self.has_article |= name == "article"
                 article = article or name
             if name not in INLINE:
                 path = hash_of(f"{path} {name} {attributes.get('class', '')}")
                 self.tags.append(path)
+                if article and named & ORDINARY:
+                    self.doubtful.add(path)
             stack.append((name, path, article, off))
         self.has_main = any(t[2] for t in self.texts) or self.has_article
 
@@ -127,6 +149,9 @@ class Page:
             most = max((c for c, _ in own), default=0)
             here = min(((c, t) for c, t in own if c >= MAIN_SHARE * most and c > 0), default=(0, None))[1]
         kept = self.kept()
+        aside = self.doubtful & {t for t, _ in containers}
+        if aside:
+            kept = [t for t in kept if not aside.intersection(t[5])]
         if constant:
             slots = [t for t in kept if text_token(t[0], t[4]) not in constant]
             if self.has_main:
