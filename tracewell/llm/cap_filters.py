@@ -183,17 +183,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def span(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each row the least id of its connected part of near."""
+def span(near: np.ndarray | tuple, ids: np.ndarray) -> np.ndarray:
+    """For each row the least id of its connected part of near, a matrix or the places of links in one."""
     label = np.arange(len(ids))
     by = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), np.int64)
     place[by] = np.arange(len(ids))
     label = place.copy()
-    a, b = np.nonzero(near)
+    a, b = near if isinstance(near, tuple) else np.nonzero(near)
     while True:
         new = label.copy()
         np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
         new = np.minimum(new, new[by[new]])
         if (new == label).all():
             return ids[by[label]]

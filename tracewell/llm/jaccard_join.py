@@ -1,16 +1,20 @@
 """Jaccard join on word n-grams, exact, in the metric space of Jaccard distance.
 
-Documents of one set are folded into one. Voronoi regions around pivots alone would not divide a corpus: unrelated
-documents are all at distance 1 from any pivot, which no triangle inequality separates. So the first regions are found
-by a pigeonhole: a set is cut by hash into more classes than a similar pair can differ in elements, so similar sets
-agree on a whole class. Sets that agree on one are joined into regions. A region too large for a task is divided
-by pivots: each set goes to its nearest pivot's region and, as a guest, to every region whose pivot is at most two
-radii farther (by the triangle inequality no link is lost); regions are divided again while that shrinks them, and
-what is left too large is met in blocks. Links are decided by exact intersection counts.
-
-Signatures are folded where they arise (one row per batch of documents and signature goes on), so a class that a third
-of all documents share is never one task, and nothing is emitted per pair. Elements are 64-bit hashes of n-grams. A set
-goes by a 64-bit hash of its own, not by a doc_id, which may be null or have several sets.
+Documents of one set are folded into one. Sets are joined by Voronoi cells: members of a region are sampled as pivots, each
+set that is near to one (distance at most NEAR) goes to its nearest pivot's cell, and as a guest to every cell that the
+triangle inequality allows a partner to be in (distance at most two radii beyond its nearest, and at most NEAR and one
+radius). Sets near to no pivot make an outer cell of their own. A cell that is larger than a leaf is divided again by pivots
+of its own, so every region ends in leaves, where links are decided by exact intersection counts. Regions that fit a task
+are divided inside it; larger ones by a shuffle per round, dealt in chunks so that no region is one task.
+
+Unrelated documents are all at distance 1 from each other and from any pivot, so the first regions cannot come from pivots
+(each round would take out little more than its pivots). They come from a pigeonhole filter: a set is cut by hash into more
+classes than a similar pair can differ in elements, so similar sets agree on a whole class, and sets that agree are of one
+region. Class signatures are folded where they arise, so one that a third of all documents share is never one task, and
+nothing is emitted per pair.
+
+Elements are 64-bit hashes of n-grams. A set goes by a 64-bit hash of its own, not by a doc_id, which may be null or have
+several sets; regions are formed over 40 bits of it, where a clash only makes a region larger.
 """
 
 import numpy as np
@@ -24,17 +28,26 @@ from .components import components
 from .tables import settled
 
 U = np.uint64
-#: Sets that are compared in one go, and sets of small regions that share a task.
+#: Sets of a region that one task divides on its own, and sets of small regions that share a task.
 REGION, TASK = 1200, 3000
-VORONOI_ROUNDS = 2
+#: Sets that are compared with each other as they are.
+LEAF = 6
+#: Distance up to which a set is near to a pivot, and pivots of a round inside a task.
+NEAR, PIVOTS = 0.5, 16
+#: Rounds of division by shuffles. What is still too large is met in blocks.
+VORONOI_ROUNDS = 6
+#: Bytes of signatures that a bucket is meant to hold.
+BUCKET_BYTES = 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLIM = "doc_id long, n long, h1 long, h2 long, signatures binary"
-SLIM_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("signatures", pa.binary())])
+SLIM = "doc_id long, key long, key2 long, n long, h1 long, h2 long"
+SLIM_SCHEMA = pa.schema([(x, pa.int64()) for x in ("doc_id", "key", "key2", "n", "h1", "h2")])
 PAIR = "a long, b long"
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-SETS = "doc_id long, h1 long, h2 long, elements binary"
-SETS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("elements", pa.binary())])
+SETS = "region long, rep long, elements binary"
+SETS_SCHEMA = pa.schema([("region", pa.int64()), ("rep", pa.int64()), ("elements", pa.binary())])
+BUCKET = "bucket long, sigs binary, names binary, pairs binary"
+BUCKETS = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("names", pa.binary()), ("pairs", pa.binary())])
 
 
 def shingles(column, n: int) -> list[np.ndarray]:
@@ -73,6 +86,8 @@ class Classes:
         self.top = np.array(self.top, np.int64)
         # similar sets of at most s elements differ in at most this many
         self.differ = 2 * self.top * (den - num) // (den + num)
+        #: Signatures for each element of a set, about.
+        self.rate = 4 * (den - num) / (den + num)
 
     def of(self, s: np.ndarray) -> np.ndarray:
         level = int(np.searchsorted(self.top, len(s)))
@@ -126,15 +141,67 @@ def links_within(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return near
 
 
-def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
-    out = np.ones((len(sets), len(pivots)))
-    for j, p in enumerate(pivots):
-        for i, s in enumerate(sets):
-            both = len(np.intersect1d(s, p, assume_unique=True))
-            out[i, j] = 1 - both / (len(s) + len(p) - both)
+def common(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set with each pivot."""
+    flat = np.concatenate(pivots)
+    names, inverse = np.unique(flat, return_inverse=True)
+    grid = np.zeros((len(names), len(pivots)), np.int64)
+    grid[inverse, np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])] = 1
+    out = np.zeros((len(sets), len(pivots)), np.int64)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(names, s)
+        at = at[names[np.minimum(at, len(names) - 1)] == s]
+        out[i] = grid[at].sum(axis=0)
     return out
 
 
+def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    both = common(sets, pivots)
+    size = np.array([len(s) for s in sets])[:, None] + np.array([len(p) for p in pivots])[None, :]
+    return 1 - both / (size - both)
+
+
+def windows(d: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets at distances d from pivots: which is each one's pivot, whether it is near, and all cells that it must be in.
+
+    Let x and y link, so d(x, y) <= radius, and x be near to its pivot p. Then d(y, p) <= NEAR + radius, and d(y, p) <=
+    d(x, p) + radius <= d(x, q) + radius <= d(y, q) + 2 * radius for y's own pivot q: so y is in p's cell. If neither is near, both
+    are in the outer cell.
+    """
+    home = d.argmin(axis=1)
+    least = d.min(axis=1, keepdims=True)
+    inside = (d <= least + 2 * radius + 1e-9) & (d <= NEAR + radius + 1e-9)
+    return home, least[:, 0] <= NEAR, inside
+
+
+def voronoi_links(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links (i, j) of these sets, by recursive division into Voronoi cells; a link of two guests may come twice.
+
+    A leaf, or a cell that its pivots do not divide, is decided by intersection counts of its sets.
+    """
+    radius, found = (den - num) / den, []
+    size = np.array([len(s) for s in sets])
+    work = [np.argsort(size, kind="stable")]
+    while work:
+        at = work.pop()
+        if len(at) < 2:
+            continue
+        if len(at) <= LEAF:
+            i, j = np.nonzero(np.triu(links_within([sets[i] for i in at], num, den)))
+            found.append(np.stack([at[i], at[j]]))
+            continue
+        # pivots evenly spaced in order of size, which is a sample of the cell that reruns alike
+        pick = at[np.linspace(0, len(at) - 1, min(PIVOTS, -(-len(at) // LEAF) + 1)).astype(np.int64)]
+        _, near, inside = windows(distances([sets[i] for i in at], [sets[i] for i in pick]), radius)
+        cells = [at[inside[:, j]] for j in range(len(pick))] + [at[~near]]
+        if sum(len(c) ** 2 for c in cells) > 0.7 * len(at) ** 2:  # dense: the cells would be more work than the whole
+            i, j = np.nonzero(np.triu(links_within([sets[i] for i in at], num, den)))
+            found.append(np.stack([at[i], at[j]]))
+        else:
+            work += cells
+    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text: str = "text", region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs.
 
@@ -145,86 +212,80 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     """
     classes = Classes(num, den)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # a row's text is found again by 128 bits of its id and text
+    base = base.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")).withColumn("key2", F.xxhash64("text", "doc_id", F.col("doc_id").isNull()))
 
-    def slim(parts):
+    def batches(parts):
         for part in parts:
             for at, count in K.batches(part.column("text"), 2 << 20):
-                sets = shingles(part.column("text").slice(at, count), n)
-                h = np.array([[K.mix(s).sum(dtype=U), K.mix(s ^ U(K.BASE)).sum(dtype=U)] for s in sets], U).reshape(-1, 2)
-                h = K.mix(h + np.array([len(s) for s in sets], U)[:, None]).view(np.int64)
-                sig = [classes.of(s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, count), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(sig, pa.binary())], schema=SLIM_SCHEMA)
+                rows = part.slice(at, count)
+                yield rows, shingles(rows.column("text"), n)
             K.release()
 
+    def slim(parts):
+        for rows, sets in batches(parts):
+            h = names_of(sets)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), rows.column("key2"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], schema=SLIM_SCHEMA)
+
     every = settled(base.mapInArrow(slim, SLIM))
     full = every.filter("n > 0")
-    # rep says where the set's text is (null: in rows of null doc_id only); h1 is its name
-    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("signatures").alias("signatures"))
-    total = reps.agg(F.sum(F.octet_length("signatures"))).first()[0] or 0
-    buckets = max(24, int(total) // (8 << 20))
+    words = every.agg(F.sum("n")).first()[0] or 0
+    buckets = max(24, int(words * classes.rate * 9) // BUCKET_BYTES)
 
     def announce(parts):
-        """Per bucket: each signature of this batch with its least set; sets that share one here are joined here."""
-        for part in parts:
-            for at, count in K.batches(part.column("signatures"), 8 << 20):
-                sig = [np.frombuffer(x, U) for x in part.column("signatures").slice(at, count).to_pylist()]
-                name = part.column("h1").slice(at, count).to_numpy()
-                own = np.repeat(name, [len(s) for s in sig])
-                yield from chained(np.concatenate(sig) if sig else np.zeros(0, U), own, buckets)
-
-    def chained(sig: np.ndarray, own: np.ndarray, to: int):
-        order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = sig[1:] != sig[:-1]
-        first = np.flatnonzero(fresh)
-        least = own[first][np.cumsum(fresh) - 1] if len(first) else own
-        pair = np.unique(np.stack([own[~fresh], least[~fresh]]), axis=1)
-        pair = pair[:, pair[0] != pair[1]]
-        rows = [(-1, pair.astype("<i8").tobytes())] if pair.size else []
-        if to:
-            s, o = sig[first], own[first]
-            bucket = ((s >> U(32)) * U(to) >> U(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            rows += [(int(bucket[lo]), s[lo:hi].tobytes() + o[lo:hi].tobytes()) for lo, hi in zip([0, *cuts], [*cuts, len(s)], strict=True) if hi > lo]
+        """Per bucket the signatures of a few batches, each with its least set; sets that share one here are joined here."""
+        told: set[int] = set()
+        sig, own, held = [], [], 0
+        for _, sets in batches(parts):
+            for name, s in zip(short(names_of(sets)[:, 0]).tolist(), sets, strict=True):
+                if name in told:
+                    continue  # a copy: its signatures are on their way
+                told.add(name)
+                of = classes.of(s)
+                sig.append(of)
+                own.append(np.full(len(of), name))
+                held += len(of)
+            if held > 2_000_000:
+                yield from sent(sig, own)
+                sig, own, held = [], [], 0
+            if len(told) > 2_000_000:
+                told.clear()
+        yield from sent(sig, own)
+
+    def sent(sig: list[np.ndarray], own: list[np.ndarray]):
+        if not sig:
+            return
+        # 32 bits tell signatures apart within a bucket: a clash only makes a region larger
+        s, o, pair = chained(np.concatenate(sig), np.concatenate(own))
+        bucket = ((s >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        rows = [(int(bucket[lo]), (s[lo:hi] & U(0xFFFFFFFF)).astype("<u4").tobytes(), packed(o[lo:hi]), b"") for lo, hi in zip([0, *cuts], [*cuts, len(s)], strict=True) if hi > lo]
+        if pair.size:
+            rows.append((int(pair[0, 0]) % buckets, b"", b"", pair.astype("<i8").tobytes()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(BUCKETS)], schema=BUCKETS)
 
     def meet(table: pa.Table) -> pa.Table:
         K.release()
-        parts = [np.frombuffer(x, U).reshape(2, -1) for x in table["data"].to_pylist()]
-        both = np.concatenate(parts, axis=1)
-        out = [b.column("data")[0].as_py() for b in chained(both[0], both[1].view(np.int64), 0)]
-        return pairs(np.frombuffer(b"".join(out), np.int64).reshape(2, -1))
+        sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), "<u4").astype(U)
+        own = unpacked(b"".join(table["names"].to_pylist()))
+        known = [np.frombuffer(x, "<i8").reshape(2, -1) for x in table["pairs"].to_pylist() if x]
+        return pairs(np.concatenate([*known, chained(sig, own)[2]], axis=1))
 
-    def unpack(parts):
-        for part in parts:
-            for x in part.column("data").to_pylist():
-                yield from pairs(np.frombuffer(x, np.int64).reshape(2, -1)).to_batches()
-
-    sent = settled(reps.select("h1", "signatures").mapInArrow(announce, "bucket long, data binary"))
-    agree = sent.filter("bucket < 0").mapInArrow(unpack, PAIR).unionByName(sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(meet, PAIR))
-    regions = components(agree, "a", "b").select(F.col("node").alias("h1"), F.col("component").alias("region"))
-    needed = settled(reps.select("h1", "h2", "rep").join(regions, "h1"))
+    agree = base.select("text").mapInArrow(announce, BUCKET).groupBy("bucket").applyInArrow(meet, PAIR)
+    regions = components(agree, "a", "b").select(F.col("node").alias("short"), F.col("component").alias("region"))
+    # of each set one row says where its text is, and the least doc_id is told
+    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("key", "key2")).alias("key"))
+    needed = settled(reps.withColumn("short", F.shiftrightunsigned("h1", 24)).join(regions, "short").select("h1", "h2", "rep", "key.key", "key.key2", "region"))
 
     def elements(parts):
-        for part in parts:
-            for at, count in K.batches(part.column("text"), 2 << 20):
-                sets = shingles(part.column("text").slice(at, count), n)
-                h = np.array([[K.mix(s).sum(dtype=U), K.mix(s ^ U(K.BASE)).sum(dtype=U)] for s in sets], U).reshape(-1, 2)
-                h = K.mix(h + np.array([len(s) for s in sets], U)[:, None]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(at, count), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], schema=SETS_SCHEMA)
-            K.release()
+        for rows, sets in batches(parts):
+            yield pa.RecordBatch.from_arrays([rows.column("region"), rows.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=SETS_SCHEMA)
 
-    # a row that repeats a doc_id may have another set: only the sets that the id stands for count
-    at = needed.filter("rep IS NOT NULL")
-    sets = base.join(at.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(elements, SETS).join(at.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"])
-    sets = sets.select("h1", "h2", "region", "elements")
-    nowhere = needed.filter("rep IS NULL")
-    if not nowhere.isEmpty():
-        sets = sets.unionByName(base.filter("doc_id IS NULL").mapInArrow(elements, SETS).join(nowhere, ["h1", "h2"]).select("h1", "h2", "region", "elements"))
-    sets = settled(sets.dropDuplicates(["h1", "h2"]).select("region", F.col("h1").alias("rep"), "elements", F.lit(True).alias("home")))
-    found = join_regions(sets, num, den, region)
+    # the one time that texts are shuffled; equal rows are folded before
+    texts = base.groupBy("key", "key2").agg(F.first("text").alias("text"))
+    sets = texts.join(needed.select("key", "key2", F.col("h1").alias("rep"), "region"), ["key", "key2"]).select("text", "rep", "region").mapInArrow(elements, SETS)
+    found = join_regions(settled(sets), num, den, region)
     # the least doc_id of a component, told to its sets
     groups = settled(components(found, "a", "b").withColumnRenamed("node", "h1").join(needed.select("h1", "rep"), "h1"))
     least = groups.groupBy("component").agg(F.min("rep").alias("least"))
@@ -234,38 +295,76 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     return linked.unionByName(every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def names_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Two hashes of each set."""
+    h = np.array([[K.mix(s).sum(dtype=U), K.mix(s ^ U(K.BASE)).sum(dtype=U)] for s in sets], U).reshape(-1, 2)
+    return K.mix(h + np.array([len(s) for s in sets], U)[:, None]).view(np.int64)
+
+
+def short(name: np.ndarray) -> np.ndarray:
+    """40 bits of a set's hash."""
+    return (name.view(U) >> U(24)).astype(np.int64)
+
+
+def packed(names: np.ndarray) -> bytes:
+    """Short names in five bytes each, by planes."""
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<i8").reshape(-1)
+
+
+def chained(sig: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures with the least set of each, and pairs that join all other sets of a signature to that one."""
+    order = np.lexsort((own, sig))
+    sig, own = sig[order], own[order]
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = sig[1:] != sig[:-1]
+    first = np.flatnonzero(fresh)
+    least = own[first][np.cumsum(fresh) - 1] if len(first) else own
+    pair = np.unique(np.stack([own[~fresh], least[~fresh]]), axis=1)
+    return sig[first], own[first], pair[:, pair[0] != pair[1]]
+
+
 def pairs(found: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64))], schema=PAIRS)
 
 
 def join_regions(sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """Links of all regions, as a spanning forest (a, b) of each. sets: region, rep, elements, home."""
+    """Links of all regions (a, b), all or a spanning forest of each. sets: region, rep, elements.
+
+    Regions over most sets are divided by pivots, round after round. One that pivots do not divide is dense: its sets lie
+    around the pivots, to which most of them link. Sets that so hang together need no comparison with each other; the
+    rest is compared with all, in blocks.
+    """
     radius = (den - num) / den
     sizes = settled(sets.groupBy("region").agg(F.count("*").alias("size")))
+    tasks = max(24, (sizes.agg(F.sum("size")).first()[0] or 0) // TASK)
     large = sizes.filter(F.col("size") > most)
-    done: list[DataFrame] = []
-    small = sets.join(sizes.filter((F.col("size") > 1) & (F.col("size") <= most)), "region")
-    for _ in range(VORONOI_ROUNDS):
-        if large.isEmpty():
-            break
-        cells = settled(divide(sets.join(large, "region"), radius, most))
-        gain = cells.groupBy("region").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-        shrunk = settled(gain.filter("n <= 3 * size").select("region"))
-        done.append(sets.join(large, "region").join(shrunk, "region", "left_anti"))
-        sets = cells.join(shrunk, "region", "left_semi").select(F.xxhash64("region", "cell").alias("region"), "rep", "elements", "home")
+    ready, links, rounds = [], [], 0
+    while not large.isEmpty():
+        ready.append(sets.join(large, "region", "left_anti"))
+        parts = sets.join(large, "region")
+        cells = settled(divide(parts, num, den, most))
+        shares = cells.groupBy("region", "cell").agg(F.count("*").cast("double").alias("n"), F.first("size").alias("size"))
+        dense = shares.groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.first("size").alias("size"))
+        dense = settled(dense.filter(F.lit(rounds >= VORONOI_ROUNDS) | (F.col("pairs") > 0.7 * F.col("size") * F.col("size"))).select("region"))
+        rounds += 1
+        if not dense.isEmpty():
+            around = settled(cells.filter("home").join(dense, "region", "left_semi").select("region", "rep", "elements", "size", "star", "label"))
+            links += [around.filter("star IS NOT NULL").select(F.col("rep").alias("a"), F.col("star").alias("b")), around.filter("star IS NOT NULL").select(F.col("star").alias("a"), F.col("label").alias("b")).distinct()]
+            ready.append(blocks(around, most))
+        sets = settled(cells.join(dense, "region", "left_anti").select(F.xxhash64("region", "cell").alias("region"), "rep", "elements").distinct())
         sizes = settled(sets.groupBy("region").agg(F.count("*").alias("size")))
         large = sizes.filter(F.col("size") > most)
-        small = small.unionByName(sets.join(sizes.filter((F.col("size") > 1) & (F.col("size") <= most)), "region"))
-    else:
-        done.append(sets.join(large, "region"))
-    small = small.select("region", "rep", "elements", "home", F.lit(0).alias("own"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    for left in done:  # blocks of at most half the size, each with each
-        half = most // 2
-        b = left.withColumn("blocks", F.expr(f"CAST(ceil(size / {half}) AS INT)")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        b = b.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j))")))
-        small = small.unionByName(b.select(F.xxhash64("region", "pair").alias("region"), "rep", "elements", "home", "own", "pair.i", "pair.j"))
-    small = settled(small)
-    tasks = max(24, small.count() // TASK)
+    plain = [F.lit(0).alias(x) for x in ("own", "i", "j")]
+    ready = [r if "own" in r.columns else r.select("region", "rep", "elements", *plain) for r in [*ready, sets]]
+    small = ready[0]
+    for r in ready[1:]:
+        small = small.unionByName(r)
 
     def decide(table: pa.Table) -> pa.Table:
         K.release()
@@ -277,43 +376,87 @@ def join_regions(sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
             if hi - lo < 2:
                 continue
             rep = table["rep"].slice(lo, hi - lo).to_numpy()
-            near = links_within([np.frombuffer(x, U) for x in table["elements"].slice(lo, hi - lo).to_pylist()], num, den)
+            own, i, j = (table[x].slice(lo, hi - lo).to_numpy() for x in ("own", "i", "j"))
+            members = [np.frombuffer(x, U) for x in table["elements"].slice(lo, hi - lo).to_pylist()]
+            if i[0] != j[0]:  # a pair of blocks: those of one with those of the other
+                left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own != i[0])
+                if not len(left) or not len(right):
+                    continue
+                both = common([members[x] for x in left], [members[x] for x in right])
+                size = np.array([len(s) for s in members])
+                a, b = np.nonzero(den * both >= num * (size[left][:, None] + size[right][None, :] - both))
+                near = left[a], right[b]
+            else:
+                near = voronoi_links(members, num, den)
             root = span(near, rep)
             some = root != rep
             out.append(np.stack([rep[some], root[some]]))
         return pairs(np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64))
 
-    return small.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks))).groupBy("task").applyInArrow(decide, PAIR)
+    found = small.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks))).groupBy("task").applyInArrow(decide, PAIR)
+    for more in links:
+        found = found.unionByName(more)
+    return found
+
+
+def blocks(around: DataFrame, most: int) -> DataFrame:
+    """Dense regions as pairs of blocks that need comparing: all but those within the part that hangs together by its pivots."""
+    counts = around.filter("label IS NOT NULL").groupBy("region", "label").agg(F.count("*").alias("n"))
+    core = counts.groupBy("region").agg(F.max(F.struct("n", "label")).alias("core")).select("region", "core.*").withColumnRenamed("label", "core").withColumnRenamed("n", "inside")
+    half = max(1, most // 2)
+    b = around.join(settled(core), "region", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    # blocks of the rest come first, then those of the core
+    b = b.withColumn("rest", F.ceil((F.col("size") - F.col("inside")) / half).cast("int")).withColumn("cores", F.ceil(F.col("inside") / half).cast("int"))
+    at_core = F.coalesce(F.col("label") == F.col("core"), F.lit(False))
+    b = b.withColumn("own", F.when(at_core, F.col("rest") + F.pmod(F.xxhash64("rep"), F.greatest("cores", F.lit(1))).cast("int")).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("rest", F.lit(1))).cast("int")))
+    others = F.when(at_core, F.filter(F.sequence(F.lit(0), F.col("rest")), lambda x: x < F.col("rest"))).otherwise(F.sequence(F.lit(0), F.greatest(F.col("rest") + F.col("cores") - 1, F.lit(0))))
+    b = b.withColumn("pair", F.explode(F.transform(others, lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))))
+    return b.select(F.xxhash64("region", "pair").alias("region"), "rep", "elements", "own", "pair.i", "pair.j")
+
 
+CELLS = "region long, rep long, elements binary, home boolean, size long, cell long, star long, label long"
+CELLS_SCHEMA = pa.schema([(x, {"elements": pa.binary(), "home": pa.bool_()}.get(x, pa.int64())) for x in ("region", "rep", "elements", "home", "size", "cell", "star", "label")])
+OUTER = -1
 
-def divide(sets: DataFrame, radius: float, most: int) -> DataFrame:
-    """Rows of large regions, once per Voronoi cell they must be in: the nearest pivot's, and as a guest those within two radii more."""
+
+def divide(sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Rows of large regions (with their size), once per Voronoi cell that they must be in (see windows).
+
+    home marks one row of each set; star is its pivot if the two link, label the least of the pivots that links tie to that one.
+    Pivots are about 4 * size / most members, 48 at most, which go to all chunks of their region.
+    """
+    radius = (den - num) / den
     many = F.least(F.lit(48), F.ceil(F.col("size") * 4 / most)).cast("int")
     chunked = sets.withColumn("chunks", F.ceil(F.col("size") / most).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")).cast("int"))
-    # pivots: members whose hash is under a bound that many are expected to be under; the bound, not the count, is fixed
-    share = many * 2 / F.col("size")
-    pivots = chunked.filter("home").filter(F.pmod(F.xxhash64("rep", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
-    pivots = pivots.select(F.col("region").alias("to"), F.col("rep").alias("pivot"), F.col("elements").alias("p"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("part"))
-    schema = "region long, rep long, elements binary, home boolean, size long, cell long"
-    out_schema = pa.schema([("region", pa.int64()), ("rep", pa.int64()), ("elements", pa.binary()), ("home", pa.bool_()), ("size", pa.int64()), ("cell", pa.int64())])
+    # pivots: members whose hash is under a bound that many are expected to be under; the bound, not the count, is fixed.
+    # The region's name is hashed too, so a cell that is divided again has other pivots.
+    chosen = F.pmod(F.xxhash64("rep", "region"), F.lit(1_000_000)) < many * 2 / F.col("size") * 1_000_000
+    pivots = chunked.filter(chosen).select(F.col("region").alias("to"), F.col("rep").alias("pivot"), F.col("elements").alias("p"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("part"))
 
     def assign(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return out_schema.empty_table()
-        names = right["pivot"].to_numpy() if right.num_rows else np.zeros(0, np.int64)
-        order = np.argsort(names)
-        pivots = [np.frombuffer(x, U) for x in right["p"].to_pylist()] if len(names) else []
-        pivots, names = [pivots[i] for i in order], names[order]
-        if not len(names):  # no pivot: one cell, which does not shrink
-            pick, cell, home = np.arange(left.num_rows), np.zeros(left.num_rows, np.int64), left["home"].to_numpy(zero_copy_only=False)
+            return CELLS_SCHEMA.empty_table()
+        K.release()
+        right = right.sort_by("pivot")
+        names, sets = right["pivot"].to_numpy(), [np.frombuffer(x, U) for x in left["elements"].to_pylist()]
+        if not len(names):  # no pivot: all in the outer cell
+            pick, cell = np.arange(left.num_rows), np.full(left.num_rows, OUTER)
+            home, star = np.ones(len(pick), bool), np.full(len(pick), -1)
+            label = star
         else:
-            d = distances([np.frombuffer(x, U) for x in left["elements"].to_pylist()], pivots)
-            near = d.argmin(axis=1)
-            inside = d <= d.min(axis=1, keepdims=True) + 2 * radius + 1e-9
-            pick, j = np.nonzero(inside)
-            cell = names[j]
-            home = (j == near[pick]) & left["home"].to_numpy(zero_copy_only=False)[pick]
+            pivots = [np.frombuffer(x, U) for x in right["p"].to_pylist()]
+            d = distances(sets, pivots)
+            nearest, near, inside = windows(d, radius)
+            i, j = np.nonzero(np.concatenate([inside, ~near[:, None]], axis=1))
+            pick, cell = i, np.where(j < len(names), names[np.minimum(j, len(names) - 1)], OUTER)
+            home = np.where(near[i], j == nearest[i], j == len(names))
+            size = np.array([len(s) for s in sets]) + np.array([len(p) for p in pivots])[nearest]
+            both = np.array([len(np.intersect1d(s, pivots[k], assume_unique=True)) for s, k in zip(sets, nearest, strict=True)])
+            linked = den * both >= num * (size - both)
+            tied = span(links_within(pivots, num, den), names)
+            star, label = np.where(linked, nearest, -1)[pick], tied
         rows = left.take(pa.array(pick))
-        return pa.Table.from_arrays([rows["region"], rows["rep"], rows["elements"], pa.array(home), rows["size"], pa.array(cell)], schema=out_schema)
+        named = lambda of: pa.array(np.where(star >= 0, of[np.maximum(star, 0)], 0) if len(of) else star, pa.int64(), mask=star < 0)
+        return pa.Table.from_arrays([rows["region"], rows["rep"], rows["elements"], pa.array(home), rows["size"], pa.array(cell), named(names), named(label) if len(names) else named(names)], schema=CELLS_SCHEMA)
 
-    return chunked.groupBy("region", "chunk").cogroup(pivots.groupBy("to", "part")).applyInArrow(assign, schema)
+    return chunked.groupBy("region", "chunk").cogroup(pivots.groupBy("to", "part")).applyInArrow(assign, CELLS)

@@ -1,7 +1,7 @@
 """Numpy kernels over whole Arrow text columns: bytes, words, polynomial hashes, window minimizers.
 
-Everything here is a pure function of one batch or block that a Spark task holds. Hashes are 64-bit and
-polynomial modulo 2**64 over mixed symbols; two different strings share one with a chance of about 2**-64.
+Everything here is a pure function of one batch or block that a Spark task holds. Hashes are 64-bit; rolling ones are
+polynomials modulo 2**64 over mixed symbols, and serve windows of some hundred symbols at most.
 """
 
 import ctypes
@@ -17,6 +17,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Elements that a hashing step holds at once; longer input is cut where it may be cut.
 PIECE = 1 << 18
+#: Bytes that one polynomial covers in a hash of a byte range.
+PART = 64
 try:
     _trim = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError):  # not every C library has it
@@ -105,17 +107,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mixed hash of each byte range; the ranges are in order and do not overlap."""
-    out = np.zeros(len(starts), U)
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Mixed hash of each byte range; the ranges are in order and do not overlap. Another salt is another hash.
+
+    Polynomials modulo 2**64 clash on long strings of a known kind, so a range is cut into parts of PART bytes, whose
+    polynomials are mixed with their places before they are summed.
+    """
+    parts = np.maximum(1, -(-(ends - starts) // PART))
+    first = np.cumsum(parts) - parts
+    place = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    lo = np.repeat(starts, parts) + place * PART
+    hi = np.minimum(lo + PART, np.repeat(ends, parts))
+    out = np.zeros(len(lo), U)
     i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
-        lo = starts[i]
-        sums = prefix(BYTE[data[lo : ends[j - 1]]])
-        out[i:j] = ranges(sums, starts[i:j] - lo, ends[i:j] - lo) + (ends[i:j] - starts[i:j]).astype(U)
+    while i < len(lo):
+        j = max(i + 1, int(np.searchsorted(hi, lo[i] + PIECE, "right")))
+        at = lo[i]
+        sums = prefix(BYTE[data[at : hi[j - 1]] ^ np.uint8(salt)])
+        out[i:j] = ranges(sums, lo[i:j] - at, hi[i:j] - at) + (hi[i:j] - lo[i:j]).astype(U)
         i = j
-    return mix(out)
+    out = mix(out ^ mix(place.astype(U) + U(salt << 32)))
+    return mix(np.add.reduceat(out, first)) if len(out) else out
 
 
 def batches(column, size: int = 4 << 20):
