@@ -1,8 +1,9 @@
 import random
+import re
 
 import pytest
 
-from tracewell.llm.line_dedup import dedupe_lines, keys, candidates, within
+from tracewell.llm.line_dedup import candidates, dedupe_lines, keys, within
 
 
 def distance(a, b):
@@ -14,29 +15,36 @@ def distance(a, b):
     return row[-1]
 
 
+def near(x, y, most, least):
+    short = min(len(x), len(y))
+    allowed = min(most, short // least)
+    return short >= least and abs(len(x) - len(y)) <= allowed and re.findall("[0-9]", x) == re.findall("[0-9]", y) and distance(x, y) <= allowed
+
+
 def brute(rows, most, least):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    word = lambda x: re.search(r"[^\x20\x09-\x0d]", x)
     first = {}
     for k, (_, t) in enumerate(rows):
         for j, line in enumerate((t or "").split("\n")):
-            if len(line) >= least:
+            if word(line):
                 first.setdefault(line, (k, j))
     lines = list(first)
-    near = {x for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= most and distance(x, y) <= most for y in lines[:i])}
+    gone = {x for i, x in enumerate(lines) if any(near(x, y, most, least) for y in lines[:i])}
     out = []
     for k, (d, t) in enumerate(rows):
         if t is None:
             out.append((d, None, 0, 0))
             continue
         all_ = t.split("\n")
-        kept = [x for j, x in enumerate(all_) if len(x) < least or (first[x] == (k, j) and x not in near)]
+        kept = [x for j, x in enumerate(all_) if not word(x) or (first[x] == (k, j) and x not in gone)]
         out.append((d, "\n".join(kept), len(all_), len(all_) - len(kept)))
     return out
 
 
 def corpus(seed):
     r = random.Random(seed)
-    base = ["".join(r.choice("abcé dß") for _ in range(r.randint(15, 70))) for _ in range(25)]
+    base = ["".join(r.choice("abcé dß5") for _ in range(r.randint(15, 70))) for _ in range(25)]
     rows = []
     for i in range(90):
         lines = []
@@ -81,5 +89,24 @@ def test_edit_band_and_keys():
         assert np.all([i < j for i, j in got])
 
 
+def test_numbered_lines_stay(spark):
+    rows = [(i, f"Copyright notice number {i:06d} of all the rights that are reserved here") for i in range(400)]
+    rows += [(1000, rows[5][1].replace("all", "al1")), (1001, rows[6][1].replace("all", "oll")), (1002, "short"), (1003, "short"), (1004, "Table 101 of results"), (1005, "Table 102 of results")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_removed_lines for r in dedupe_lines(df).collect()}
+    assert {d for d, n in got.items() if n} == {1001, 1003}
+
+
+def test_clashing_and_long_lines(spark):
+    a, b = "ab", "ba"
+    for _ in range(11):  # the two texts on which a polynomial modulo a power of two clashes
+        a, b = a + b, b + a
+    long = "".join(random.Random(3).choice("abcdef ") for _ in range(200_000))
+    rows = [(1, a), (2, b), (3, long), (4, long[:90_000] + "X" + long[90_000:]), (5, long[:-5] + "vwxyz"), (6, long[1:] + "\n" + a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, r.n_removed_lines) for r in dedupe_lines(df, blocks=2).collect())
+    assert got == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 0), (6, 2)]
+
+
 def test_empty(spark):
     assert dedupe_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -1,22 +1,26 @@
 """Line dedup with a segment-partition edit join.
 
-A line of at least least code points goes if an equal line, or one within most edits (insert, delete, replace a code
-point), occurs earlier in the corpus. Documents are dealt into blocks; steps talk to blocks by messages (see passages.py):
-
-1. Equal lines: each block sends its distinct lines' hashes to buckets, which answer which of them an earlier document has.
-2. First lines are cut into most + 1 even segments. A line within most edits of another has one of its segments, near to
-   where it stood, so lines send index keys (length, segment number, segment) and probe keys for the few substrings of
-   each shorter length that the multi-match-aware windows allow. A key also carries counts of eight classes of code
+A line goes if an equal line occurs earlier in the corpus. A line of at least least code points also goes if one occurs
+earlier that has the same digits and is within so many edits (insert, delete, replace a code point) as edits() allows the
+shorter of the two. Documents are dealt into blocks, once; steps talk to blocks by messages (see passages.py):
+
+1. Equal lines: each block sends its distinct lines' hashes (128 bits) to buckets, which answer which of them an earlier document has.
+2. First lines are cut into one even segment more than edits are allowed. A line within that many edits of another has one of
+   its segments, near to where it stood, so lines send index keys (length, digits, segment number, segment) and probe keys for the
+   few substrings of each shorter length that the multi-match-aware windows allow. Lines that differ in their digits (the
+   numbered lines of a list, say) never meet. A key also carries counts of eight classes of code
    points: pairs whose counts differ by more than edits can are dropped where they meet, in pieces, and not emitted.
 3. The texts of lines that are left in pairs are fetched, and the pairs decided by edit distance in a band of diagonals,
    bit-parallel over the band and side by side over many pairs.
 
-Which of two near lines goes depends on their first places only, so the result does not depend on partitioning.
+Which of two near lines goes depends on their first places only, so the result does not depend on partitioning. All steps are
+one plan, whose exchange of blocks Spark reuses.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -24,12 +28,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import kernels as K
 from .blocks import block_count
 from .passages import ANSWER, MESSAGE, REPEATED, answers, bucket_of, messages, settle
-from .tables import settled
 
 U = np.uint64
 MOST, LEAST = 2, 20
-#: Candidate pairs that a task looks at together.
-PAIRS = 1 << 19
+#: Candidate pairs that a task looks at together, and code points of pairs that are compared side by side.
+PAIRS, GRID = 1 << 19, 1 << 21
 IDX_BITS = 24
 
 
@@ -59,60 +62,79 @@ class Lines:
         self.row = np.repeat(np.arange(len(self.per_row)), self.per_row)
         points = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int32)])
         self.chars = points[self.end] - points[self.start]
-        self.long = np.flatnonzero(self.chars >= least)
-        h = K.piece_hashes(self.data, self.start[self.long], self.end[self.long])
-        order = np.argsort(h, kind="stable")
+        starts = K.words(self.data, self.offsets)[0]
+        #: Lines that hold a word.
+        self.told = np.flatnonzero(np.searchsorted(starts, self.end) > np.searchsorted(starts, self.start))
+        h, g = (K.piece_hashes(self.data, self.start[self.told], self.end[self.told], salt) for salt in (0, 90))
+        order = np.lexsort((g, h))
         fresh = np.ones(len(order), bool)
-        fresh[1:] = h[order[1:]] != h[order[:-1]]
-        #: Distinct long lines by hash: the first of each; and its hash.
-        self.first, self.hash = self.long[order[fresh]], h[order[fresh]]
+        fresh[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        #: Distinct lines by hash: the first of each; its two hashes; whether it is long enough for the edit join.
+        self.first, self.hash, self.print = self.told[order[fresh]], h[order[fresh]], g[order[fresh]]
+        self.long = self.chars[self.first] >= least
         self.again = np.zeros(n, bool)
-        self.again[self.long[order[~fresh]]] = True
+        self.again[self.told[order[~fresh]]] = True
 
     def text(self, line: int) -> bytes:
         return self.data[self.start[line] : self.end[line]].tobytes()
 
 
-def segment(length: np.ndarray, i: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the i-th of most + 1 even parts, the longer ones last."""
-    base, extra = np.divmod(np.maximum(length, 0), most + 1)
-    longer = most + 1 - extra
+def edits(length: np.ndarray, most: int, least: int) -> np.ndarray:
+    """Edits allowed to a pair whose shorter line has this length: one for each least code points, most at most."""
+    return np.clip(length // max(least, 1), 0, most)
+
+
+def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the i-th of so many even parts, the longer ones last."""
+    base, extra = np.divmod(np.maximum(length, 0), parts)
+    longer = parts - extra
     return i * base + np.maximum(0, i - longer), base + (i >= longer)
 
 
-def keys(lines: list[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys(lines: list[bytes], most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For all lines: keys, the line each is of, whether it probes, and the lines' class counts."""
     text = [np.frombuffer(x.decode("utf-8", "replace").encode("utf-32-le"), "<u4") for x in lines]
     size = np.array([len(t) for t in text], np.int64)
     offset = np.concatenate([[0], np.cumsum(size)])
-    flat = K.mix(np.concatenate(text).astype(U) + U(1)) if text else np.zeros(0, U)
+    points = np.concatenate(text) if text else np.zeros(0, "<u4")
+    flat = K.mix(points.astype(U) + U(1))
     counts = np.zeros((len(lines), 8), np.int64)
     line_of = np.repeat(np.arange(len(lines)), size)
     for c in range(8):
         counts[:, c] = np.bincount(line_of[(flat & U(7)) == U(c)], minlength=len(lines))
     profile = (counts & 255).astype(np.uint8)
     sums = K.prefix(flat)
+    # the digits of each line, in order: a digit's symbol is mixed with its place among the line's digits
+    digit = np.flatnonzero((points >= 48) & (points <= 57))
+    owner = line_of[digit]
+    place = np.arange(len(digit)) - np.searchsorted(owner, owner)
+    digits = np.zeros(len(lines), U)
+    np.add.at(digits, owner, K.mix(flat[digit] ^ K.mix(place.astype(U) + U(1))))
+    digits = K.mix(digits + U(3))
     out_key, out_line, out_probe = [], [], []
 
     def put(at: np.ndarray, start: np.ndarray, n: np.ndarray, length: np.ndarray, part: int, probe: bool) -> None:
-        name = U(K.BASE) * (length.astype(U) * U(64) + U(part + 1))
+        name = U(K.BASE) * (length.astype(U) * U(64) + U(part + 1)) + digits[at]
         out_key.append(K.mix(K.ranges(sums, offset[at] + start, offset[at] + start + n) + name))
         out_line.append(at)
         out_probe.append(np.full(len(at), probe))
 
-    every = np.arange(len(lines))
-    for less in range(most + 1):
-        length = size - less
-        for i in range(most + 1):
-            p, n = segment(length, i, most)
-            if less == 0:
-                put(every, p, n, length, i, False)
-            low = np.maximum(0, np.maximum(p - i, p + less - (most - i)))
-            high = np.minimum(size - n, np.minimum(p + i, p + less + (most - i)))
-            for d in range(-most, 2 * most + 1):
-                at = np.flatnonzero((length > 0) & (p + d >= low) & (p + d <= high))
-                if len(at):
-                    put(at, p[at] + d, n[at], length[at], i, True)
+    for t in range(1, most + 1):
+        for less in range(t + 1):
+            on = np.flatnonzero((size > less) & (edits(size - less, most, least) == t))
+            if not len(on):
+                continue
+            length = size[on] - less
+            for i in range(t + 1):
+                p, n = segment(length, i, t + 1)
+                if less == 0:
+                    put(on, p, n, length, i, False)
+                low = np.maximum(0, np.maximum(p - i, p + less - (t - i)))
+                high = np.minimum(size[on] - n, np.minimum(p + i, p + less + (t - i)))
+                for d in range(-t, 2 * t + 1):
+                    x = np.flatnonzero((p + d >= low) & (p + d <= high))
+                    if len(x):
+                        put(on[x], p[x] + d, n[x], length[x], i, True)
     if not out_key:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool), profile
     return np.concatenate(out_key), np.concatenate(out_line), np.concatenate(out_probe), profile
@@ -145,6 +167,28 @@ def candidates(key: np.ndarray, ref: np.ndarray, probe: np.ndarray, profile: np.
     return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
 
 
+def near_lines(a: list[str], b: list[str], most: int, least: int) -> np.ndarray:
+    """Which pairs have equal digits and are within the edits they are allowed; compared in batches of GRID code points."""
+    shorter = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    allowed = edits(shorter, most, least)
+    ok = np.array([re.findall("[0-9]", x) == re.findall("[0-9]", y) for x, y in zip(a, b, strict=True)], bool) & (longer - shorter <= allowed)
+    out = np.zeros(len(a), bool)
+    for t in range(1, most + 1):
+        some = np.flatnonzero(ok & (allowed == t))
+        some = some[np.argsort(longer[some], kind="stable")]
+        lo = 0
+        while lo < len(some):
+            # lines of like length go together, so a batch is about as large as its padded grid
+            hi = lo + 1
+            while hi < len(some) and (hi + 1 - lo) * longer[some[hi]] <= GRID:
+                hi += 1
+            batch = some[lo:hi]
+            out[batch] = within([a[i] for i in batch], [b[i] for i in batch], t)
+            lo = hi
+    return out
+
+
 def within(a: list[str], b: list[str], most: int) -> np.ndarray:
     """Which pairs are within most edits: a band of 2 * most + 1 diagonals, one bit each, for all pairs at once."""
     n = len(a)
@@ -191,17 +235,16 @@ def within(a: list[str], b: list[str], most: int) -> np.ndarray:
 def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """docs with the text's removed lines taken out, and n_lines and n_removed_lines (which replace such columns).
 
-    Lines are what lies between \\n; those under least code points stay. A longer line goes if an equal one starts
-    earlier (smaller doc_id, or same document, earlier line), or if it is the first of its text and within most edits of
-    a line whose first place is earlier, whether that one stays or not: lines are judged on the input. Lines left are
-    joined by \\n. Null text stays null and counts no lines; a null doc_id comes before all others; rows that repeat a
+    Lines are what lies between \\n; those without a word `[^\\x20\\x09-\\x0D]` stay. Another goes if an equal one starts
+    earlier (smaller doc_id, or same document, earlier line). One of at least least code points also goes if it is the first of
+    its text and there is a line of at least least code points whose first place is earlier, whether that one stays or not,
+    with the same digits 0-9 in the same order, within as many edits as whole times least goes into the shorter one's length,
+    most at most: lines are judged on the input. Lines left are joined by \\n. Null text stays null and counts no lines; a null doc_id comes before all others; rows that repeat a
     doc_id count in the order of their texts; an empty table gives an empty result; other columns pass unchanged.
     """
     count = blocks or block_count(docs, text)
     docs = docs.drop("n_lines", "n_removed_lines", "__block")
     dealt = docs.withColumn(text, F.col(text).cast("string")).withColumn("__block", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(count)))
-    # four steps read the blocks: dealt out once and kept on disk; what a lost executor held is dealt anew
-    dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__block").persist(StorageLevel.DISK_ONLY)
 
     def announce(table: pa.Table) -> pa.Table:
         b, block = Lines(table, id_col, text, least), table["__block"][0].as_py()
@@ -210,7 +253,7 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
         doc = b.ids[b.row[b.first]].astype(np.int64)
         for lo, hi in zip([0, *cuts], [*cuts, len(to)], strict=True):
             if hi > lo:
-                data = np.concatenate([b.hash[lo:hi], np.zeros(hi - lo, U), doc[lo:hi].view(U)]).tobytes()
+                data = np.concatenate([b.hash[lo:hi], b.print[lo:hi], doc[lo:hi].view(U)]).tobytes()
                 rows.append((1, int(to[lo]), block, int(lo), None, None, None, None, None, data))
         return messages(rows)
 
@@ -233,13 +276,13 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
         if not left.num_rows:
             return messages([])
         b, block, rows = Lines(left, id_col, text, least), left["__block"][0].as_py(), []
-        own = np.flatnonzero(firsts(b, right))
+        own = np.flatnonzero(firsts(b, right) & b.long)
         ends = np.cumsum(b.chars[b.first[own]])
         lo = 0
         while lo < len(own):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + K.PIECE, "right")))
             part, lo = own[lo:hi], hi
-            key, line, probe, profile = keys([b.text(x) for x in b.first[part]], most)
+            key, line, probe, profile = keys([b.text(x) for x in b.first[part]], most, least)
             to = bucket_of(key, count)
             order = np.argsort(to, kind="stable")
             entry = (key << U(IDX_BITS)) | (part[line].astype(U) << U(1)) | probe.astype(U)
@@ -276,16 +319,14 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
 
     def verify(parts):
         for part in parts:
-            for lo in range(0, part.num_rows, 2048):
-                p = part.slice(lo, 2048)
-                ok = within(p.column("line_a").to_pylist(), p.column("line_b").to_pylist(), most)
-                yield from pa.Table.from_batches([p]).select(["block", "idx"]).filter(pa.array(ok)).to_batches()
+            ok = near_lines(part.column("line_a").to_pylist(), part.column("line_b").to_pylist(), most, least)
+            yield from pa.Table.from_batches([part]).select(["block", "idx"]).filter(pa.array(ok)).to_batches()
 
-    verdicts = settled(dealt.groupBy("__block").applyInArrow(announce, MESSAGE).groupBy("bucket").applyInArrow(judge, ANSWER))
+    verdicts = dealt.groupBy("__block").applyInArrow(announce, MESSAGE).groupBy("bucket").applyInArrow(judge, ANSWER)
     pairs = dealt.groupBy("__block").cogroup(verdicts.groupBy("block")).applyInArrow(sign, MESSAGE)
-    pairs = settled(pairs.groupBy("bucket").applyInArrow(meet, "block_a long, idx_a long, block_b long, idx_b long").distinct())
+    pairs = pairs.groupBy("bucket").applyInArrow(meet, "block_a long, idx_a long, block_b long, idx_b long").distinct()
     wanted = pairs.select(F.col("block_a").alias("block"), F.col("idx_a").alias("idx")).union(pairs.select("block_b", "idx_b")).distinct()
-    lines = settled(dealt.groupBy("__block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "block long, idx long, doc long, place long, line string"))
+    lines = dealt.groupBy("__block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "block long, idx long, doc long, place long, line string")
     side = lambda x: lines.select(*[F.col(c).alias(f"{c}_{x}") for c in ("block", "idx", "doc", "place", "line")])
     both = pairs.join(side("a"), ["block_a", "idx_a"]).join(side("b"), ["block_b", "idx_b"])
     # one document's lines are all in one block, where place tells their order
