@@ -9,9 +9,11 @@ are divided inside it; larger ones by a shuffle per round, dealt in chunks so th
 
 Unrelated documents are all at distance 1 from each other and from any pivot, so the first regions cannot come from pivots
 (each round would take out little more than its pivots). They come from a pigeonhole filter: a set is cut by hash into more
-classes than a similar pair can differ in elements, so similar sets agree on a whole class, and sets that agree are of one
-region. Class signatures are folded where they arise, so one that a third of all documents share is never one task, and
-nothing is emitted per pair.
+classes than a similar pair can differ in elements, so similar sets agree on whole classes, and sets that agree are of one
+region. There are twice as many classes as are needed for one to agree, so half of them need not be told: those found to be
+frequent and those of few elements, by which documents that share no more than a passage would chain their regions. Which are frequent is
+taken from a sample, which only orders them: any order gives the same links. Class signatures are folded where they arise, so one that a third of all
+documents share is never one task, and nothing is emitted per pair.
 
 Elements are 64-bit hashes of n-grams. A set goes by a 64-bit hash of its own, not by a doc_id, which may be null or have
 several sets; regions are formed over 40 bits of it, where a clash only makes a region larger.
@@ -38,6 +40,8 @@ NEAR, PIVOTS = 0.5, 16
 VORONOI_ROUNDS = 6
 #: Bytes of signatures that a bucket is meant to hold.
 BUCKET_BYTES = 8 << 20
+#: One in so many sets tells which signatures are frequent; of those, so many are known to all (12 bytes each).
+SAMPLE, OFTEN, LEAST_OFTEN = 8, 1 << 16, 3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SLIM = "doc_id long, key long, key2 long, n long, h1 long, h2 long"
@@ -89,14 +93,20 @@ class Classes:
         #: Signatures for each element of a set, about.
         self.rate = 4 * (den - num) / (den + num)
 
-    def of(self, s: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None = None, every: bool = False) -> np.ndarray:
+        """The signatures of a set; with every, all those that say something.
+
+        Similar sets agree on more classes than they can differ in elements leave over: on k - d of k or more. So each
+        needs to tell only its d + 1 rarest, in an order that all sets share (the prefix filter): by how often signatures
+        were seen (often: values, ascending, and counts), and then classes of many elements first, as those agree least by chance.
+        """
         level = int(np.searchsorted(self.top, len(s)))
         out = []
         for tag in (level, level + 1):
             d = int(self.differ[tag])
             if d == 0 or len(s) == 0:
                 continue  # such sets link only if equal
-            k = d + 2 + (d + 1) // 16
+            k = 2 * (d + 1)
             own = K.mix(s + U(tag + 1))
             cls = ((own >> U(32)) * U(k) >> U(32)).astype(np.int64)
             sums = np.zeros(k, U)
@@ -104,8 +114,14 @@ class Classes:
             filled = np.bincount(cls, minlength=k)
             name = np.arange(k, dtype=U) + U(tag) * U(1 << 40)
             sig = K.mix(K.mix(sums + filled.astype(U)) ^ K.mix(name + U(7)))
-            # a class with no element says little: it is needed only if the others might all be hit by a difference
-            out.append(sig if np.count_nonzero(filled) <= d else sig[filled > 0])
+            if every:
+                out.append(sig[filled > 0])
+                continue
+            seen = np.where(filled > 0, 0, np.iinfo(np.int64).max)
+            if often is not None and len(often[0]):
+                at = np.minimum(np.searchsorted(often[0], sig), len(often[0]) - 1)
+                seen = np.where((often[0][at] == sig) & (filled > 0), often[1][at], seen)
+            out.append(sig[np.lexsort((sig, -filled, seen))[: d + 1]])
         return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
 
 
@@ -232,6 +248,23 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     words = every.agg(F.sum("n")).first()[0] or 0
     buckets = max(24, int(words * classes.rate * 9) // BUCKET_BYTES)
 
+    def sampled(parts):
+        told: set[int] = set()
+        for _, sets in batches(parts):
+            fresh = []
+            for name, s in zip(names_of(sets)[:, 0].tolist(), sets, strict=True):
+                if name not in told:
+                    told.add(name)
+                    fresh.append(classes.of(s, every=True))
+            sig, seen = np.unique(np.concatenate(fresh) if fresh else np.zeros(0, U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(seen)], names=["sig", "seen"])
+
+    part = base.filter(F.pmod("key", F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "sig long, seen long")
+    top = part.groupBy("sig").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= LEAST_OFTEN).orderBy(F.desc("seen"), "sig").limit(OFTEN).toArrow()
+    values, seen = top["sig"].to_numpy().view(U), top["seen"].to_numpy()
+    order = np.argsort(values)
+    often = docs.sparkSession.sparkContext.broadcast((values[order], seen[order]))
+
     def announce(parts):
         """Per bucket the signatures of a few batches, each with its least set; sets that share one here are joined here."""
         told: set[int] = set()
@@ -241,7 +274,7 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
                 if name in told:
                     continue  # a copy: its signatures are on their way
                 told.add(name)
-                of = classes.of(s)
+                of = classes.of(s, often.value)
                 sig.append(of)
                 own.append(np.full(len(of), name))
                 held += len(of)
