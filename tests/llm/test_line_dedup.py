@@ -83,10 +83,16 @@ def test_edit_band_and_keys():
         assert within(a, b, most).tolist() == [distance(x, y) <= most for x, y in zip(a, b)]
         lines = sorted({"".join(r.choice("abc") for _ in range(r.randint(6, 9))) for _ in range(250)})
         key, line, probe, profile = keys([x.encode() for x in lines], most)
-        got = {tuple(p) for p in candidates(key, line, probe, profile[line], most).T.tolist()}
-        want = {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= most}
-        assert want <= got
-        assert np.all([i < j for i, j in got])
+        place = line.astype(np.float32)
+        pairs, short = candidates(key, line, probe, profile[line], most, place)
+        got = {tuple(p) for p in pairs.T.tolist()}
+        want = {(j, i) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= most}
+        assert want <= got and not len(short)
+        assert np.all([i > j for i, j in got])
+        some, short = candidates(key, line, probe, profile[line], most, place, few=2)
+        assert max(np.bincount(some[0])) == 2 and set(short) == {i for i in set(pairs[0]) if (pairs[0] == i).sum() > 2}
+        rest, _ = candidates(key, line, probe, profile[line], most, place, only=np.array(short[:5]))
+        assert {tuple(p) for p in rest.T.tolist()} == {p for p in got if p[0] in short[:5]}
 
 
 def test_numbered_lines_stay(spark):
@@ -97,6 +103,20 @@ def test_numbered_lines_stay(spark):
     assert {d for d, n in got.items() if n} == {1001, 1003}
 
 
+def test_large_group_of_near_lines(spark):
+    r = random.Random(4)
+    base = [r.choice("abcdefgh ") for _ in range(60)]
+    rows = []
+    for i in range(500):
+        x = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            x[r.randrange(60)] = r.choice("xyz")
+        rows.append((i, "".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id, x.text, x.n_lines, x.n_removed_lines) for x in dedupe_lines(df, blocks=4).collect())
+    assert got == sorted(brute(rows, 2, 20))
+
+
 def test_clashing_and_long_lines(spark):
     a, b = "ab", "ba"
     for _ in range(11):  # the two texts on which a polynomial modulo a power of two clashes

@@ -1,10 +1,10 @@
 """Substring dedup by suffix automata: removes long repeated runs of words.
 
-Two uses share the automaton. Against a small reference (checked to be under REFERENCE_WORDS), shards of the reference
-become automata that are broadcast, and documents stream through them for matching statistics. Within a corpus the
-reference is the corpus, which grows without bound and must not be broadcast: there, only spans whose key is contested
-(see passages.py) meet, each shard being the spans of one key; they stream, first document first, through the automaton
-of those before them, and join it.
+Two uses share the automaton. Against a reference, shards of the reference of at most SHARD_WORDS words become automata that
+are broadcast, round by round, and documents stream through them for matching statistics. Within a corpus the
+reference is the corpus: broadcasting its shards would read all documents once for each of them, work that grows with the
+square of the corpus. There a shard is dealt to a bucket and not to all: it holds the spans of one key (see passages.py), and the
+only spans that can match it stream through it, first document first, and join it. All repeats are found by automata.
 
 Words are compared by 64-bit hash, so two passages of different words count as equal with a chance of about 2**-64.
 """
@@ -111,9 +111,11 @@ def method_for(n: int):
             if i == 0 or key != keys[i - 1]:
                 automaton = SuffixAutomaton()
             words = np.frombuffer(data[i].as_py(), U).tolist()
-            for start in automaton.matches(words, n):
+            found = automaton.matches(words, n)
+            for start in found:
                 out[i] |= U(1) << U(start)
-            if i + 1 < len(keys) and keys[i + 1] == key:
+            # a span whose windows the automaton all has adds none
+            if i + 1 < len(keys) and keys[i + 1] == key and len(found) < len(words) - n + 1:
                 automaton.add(words)
         return masks(table["block"].to_numpy(), table["idx"].to_numpy(), out)
 

@@ -10,8 +10,10 @@ shorter of the two. Documents are dealt into blocks, once; steps talk to blocks
    few substrings of each shorter length that the multi-match-aware windows allow. Lines that differ in their digits (the
    numbered lines of a list, say) never meet. A key also carries counts of eight classes of code
    points: pairs whose counts differ by more than edits can are dropped where they meet, in pieces, and not emitted.
-3. The texts of lines that are left in pairs are fetched, and the pairs decided by edit distance in a band of diagonals,
-   bit-parallel over the band and side by side over many pairs.
+3. One earlier line that is near decides a line. So a line is first paired with the few earlier ones of most like counts; their
+   texts are fetched and the pairs decided by edit distance in a band of diagonals, bit-parallel over the band and side by
+   side over many pairs. Lines that this leaves undecided, and only those, are then paired with all others they meet. A
+   group of near lines, however large, so makes about as many pairs as it has lines.
 
 Which of two near lines goes depends on their first places only, so the result does not depend on partitioning. All steps are
 one plan, whose exchange of blocks Spark reuses.
@@ -33,6 +35,8 @@ U = np.uint64
 MOST, LEAST = 2, 20
 #: Candidate pairs that a task looks at together, and code points of pairs that are compared side by side.
 PAIRS, GRID = 1 << 19, 1 << 21
+#: Earlier lines that a line is first compared with, for each bucket it meets any in.
+FEW = 4
 IDX_BITS = 24
 
 
@@ -62,9 +66,9 @@ class Lines:
         self.row = np.repeat(np.arange(len(self.per_row)), self.per_row)
         points = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int32)])
         self.chars = points[self.end] - points[self.start]
-        starts = K.words(self.data, self.offsets)[0]
+        solid = np.concatenate([[0], np.cumsum(~K.SPACE[self.data], dtype=np.int32)])
         #: Lines that hold a word.
-        self.told = np.flatnonzero(np.searchsorted(starts, self.end) > np.searchsorted(starts, self.start))
+        self.told = np.flatnonzero(solid[self.end] > solid[self.start])
         h, g = (K.piece_hashes(self.data, self.start[self.told], self.end[self.told], salt) for salt in (0, 90))
         order = np.lexsort((g, h))
         fresh = np.ones(len(order), bool)
@@ -102,7 +106,8 @@ def keys(lines: list[bytes], most: int, least: int = 1) -> tuple[np.ndarray, np.
     line_of = np.repeat(np.arange(len(lines)), size)
     for c in range(8):
         counts[:, c] = np.bincount(line_of[(flat & U(7)) == U(c)], minlength=len(lines))
-    profile = (counts & 255).astype(np.uint8)
+    # four bits a class: differences are taken modulo 16, which never makes them larger
+    profile = (counts & 15).astype(np.uint8)
     sums = K.prefix(flat)
     # the digits of each line, in order: a digit's symbol is mixed with its place among the line's digits
     digit = np.flatnonzero((points >= 48) & (points <= 57))
@@ -140,10 +145,15 @@ def keys(lines: list[bytes], most: int, least: int = 1) -> tuple[np.ndarray, np.
     return np.concatenate(out_key), np.concatenate(out_line), np.concatenate(out_probe), profile
 
 
-def candidates(key: np.ndarray, ref: np.ndarray, probe: np.ndarray, profile: np.ndarray, most: int) -> np.ndarray:
-    """Distinct (smaller ref, larger ref) of lines that meet at a key and whose class counts allow most edits."""
+def candidates(key: np.ndarray, ref: np.ndarray, probe: np.ndarray, profile: np.ndarray, most: int, place: np.ndarray, few: int | None = None, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (later, earlier) refs of lines that meet at a key and whose class counts allow most edits, and refs cut short.
+
+    place: about where each line stands in the corpus (float32, so lines near to each other may tie: such a pair comes both ways). few:
+    pairs that each later line has at most, those of most like counts; lines that have more are told. only: the later lines asked for.
+    """
     order = np.lexsort((probe, key))
-    key, ref, probe, profile = key[order], ref[order], probe[order], profile[order]
+    key, ref, probe, profile, place = key[order], ref[order], probe[order], profile[order].astype(np.int8), place[order]
+    wanted = np.isin(ref, only) if only is not None else None
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
     group = np.cumsum(fresh) - 1
@@ -152,19 +162,36 @@ def candidates(key: np.ndarray, ref: np.ndarray, probe: np.ndarray, profile: np.
     asks = np.flatnonzero(probe & (indexed[group] > 0)) if len(group) else np.zeros(0, np.int64)
     many = indexed[group[asks]]
     ends = np.cumsum(many)
-    found, i = [], 0
+    found, short, i = np.zeros((3, 0), np.int64), np.zeros(0, np.int64), 0
     while i < len(asks):
         before = ends[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
         a = np.repeat(asks[i:j], many[i:j])
-        place = np.arange(len(a)) - np.repeat(ends[i:j] - many[i:j] - before, many[i:j])
-        b = begin[group[a]] + place
-        a, b = a[ref[a] != ref[b]], b[ref[a] != ref[b]]
-        near = np.abs((profile[a] - profile[b]).view(np.int8).astype(np.int16)).sum(axis=1) <= 2 * most
-        x, y = ref[a[near]], ref[b[near]]
-        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+        b = begin[group[a]] + np.arange(len(a)) - np.repeat(ends[i:j] - many[i:j] - before, many[i:j])
         i = j
-    return np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        on = ref[a] != ref[b]
+        if wanted is not None:
+            on &= wanted[a] | wanted[b]
+        a, b = a[on], b[on]
+        apart = profile[a] - profile[b]
+        apart = np.abs(((apart + 8) & 15) - 8).sum(axis=1)
+        on = apart <= 2 * most
+        a, b, apart = a[on], b[on], apart[on]
+        ways = [(a, b, place[a] >= place[b]), (b, a, place[b] >= place[a])]
+        new = [np.stack([ref[x[w]], ref[y[w]], apart[w]]) for x, y, w in ways]
+        found = np.concatenate([found, *new], axis=1)
+        if only is not None:
+            found = found[:, np.isin(found[0], only)]
+        found = np.unique(found, axis=1)
+        if few:
+            by = np.lexsort((found[1], found[2], found[0]))
+            found = found[:, by]
+            first = np.ones(found.shape[1], bool)
+            first[1:] = found[0, 1:] != found[0, :-1]
+            rank = np.arange(found.shape[1]) - np.maximum.accumulate(np.where(first, np.arange(found.shape[1]), 0))
+            short = np.union1d(short, found[0, rank >= few])
+            found = found[:, rank < few]
+    return found[:2], short
 
 
 def near_lines(a: list[str], b: list[str], most: int, least: int) -> np.ndarray:
@@ -283,29 +310,46 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + K.PIECE, "right")))
             part, lo = own[lo:hi], hi
             key, line, probe, profile = keys([b.text(x) for x in b.first[part]], most, least)
+            where = b.ids[b.row[b.first[part]]].astype("<f4")
             to = bucket_of(key, count)
             order = np.argsort(to, kind="stable")
             entry = (key << U(IDX_BITS)) | (part[line].astype(U) << U(1)) | probe.astype(U)
             cuts = np.flatnonzero(np.diff(to[order])) + 1
             for at in np.split(order, cuts):
                 if len(at):
-                    rows.append((2, int(to[at[0]]), block, None, None, None, None, None, None, entry[at].tobytes() + profile[line[at]].tobytes()))
+                    half = profile[line[at]]
+                    rows.append((2, int(to[at[0]]), block, None, None, None, None, None, None, entry[at].tobytes() + (half[:, ::2] << 4 | half[:, 1::2]).tobytes() + where[line[at]].tobytes()))
         return messages(rows)
 
-    pair_schema = pa.schema([(x, pa.int64()) for x in ("block_a", "idx_a", "block_b", "idx_b")])
+    pair_schema = pa.schema([(x, pa.int64()) for x in ("short", "block_a", "idx_a", "block_b", "idx_b")])
+    low = (1 << IDX_BITS) - 1
 
     def meet(table: pa.Table) -> pa.Table:
+        return met(table, FEW, None)
+
+    def meet_rest(left: pa.Table, right: pa.Table) -> pa.Table:
+        """All pairs of the lines that the first few have left undecided."""
+        if not left.num_rows or not right.num_rows:
+            return pair_schema.empty_table()
+        return met(left, None, np.unique((right["block_a"].to_numpy() << IDX_BITS) | right["idx_a"].to_numpy()))
+
+    def met(table: pa.Table, few: int | None, only: np.ndarray | None) -> pa.Table:
         K.release()
-        entries, profiles, refs = [], [], []
+        entries, profiles, refs, places = [], [], [], []
         for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
             e = np.frombuffer(data, U, len(data) // 16)
+            half = np.frombuffer(data, np.uint8, len(e) * 4, len(e) * 8).reshape(-1, 4)
             entries.append(e)
-            profiles.append(np.frombuffer(data, np.uint8, offset=len(e) * 8).reshape(-1, 8))
-            refs.append((np.int64(block) << np.int64(IDX_BITS)) | ((e & U((1 << IDX_BITS) - 1)) >> U(1)).astype(np.int64))
+            profiles.append(np.stack([half >> 4, half & 15], axis=2).reshape(-1, 8))
+            places.append(np.frombuffer(data, "<f4", len(e), len(e) * 12))
+            refs.append((np.int64(block) << np.int64(IDX_BITS)) | ((e & U(low)) >> U(1)).astype(np.int64))
         e = np.concatenate(entries)
-        got = candidates(e >> U(IDX_BITS), np.concatenate(refs), (e & U(1)).astype(bool), np.concatenate(profiles), most)
-        low = (1 << IDX_BITS) - 1
-        return pa.Table.from_arrays([pa.array(x) for x in (got[0] >> IDX_BITS, got[0] & low, got[1] >> IDX_BITS, got[1] & low)], schema=pair_schema)
+        got, short = candidates(e >> U(IDX_BITS), np.concatenate(refs), (e & U(1)).astype(bool), np.concatenate(profiles), most, np.concatenate(places), few, only)
+        got = np.unique(np.sort(got, axis=0), axis=1)
+        cut = np.zeros(got.shape[1] + len(short), np.int64)
+        cut[got.shape[1] :] = 1
+        a, b = np.concatenate([got[0], short]), np.concatenate([got[1], np.full(len(short), table["bucket"][0].as_py() << IDX_BITS)])
+        return pa.Table.from_arrays([pa.array(x) for x in (cut, a >> IDX_BITS, a & low, b >> IDX_BITS, b & low)], schema=pair_schema)
 
     line_schema = pa.schema([("block", pa.int64()), ("idx", pa.int64()), ("doc", pa.int64()), ("place", pa.int64()), ("line", pa.string())])
 
@@ -323,16 +367,27 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
             yield from pa.Table.from_batches([part]).select(["block", "idx"]).filter(pa.array(ok)).to_batches()
 
     verdicts = dealt.groupBy("__block").applyInArrow(announce, MESSAGE).groupBy("bucket").applyInArrow(judge, ANSWER)
-    pairs = dealt.groupBy("__block").cogroup(verdicts.groupBy("block")).applyInArrow(sign, MESSAGE)
-    pairs = pairs.groupBy("bucket").applyInArrow(meet, "block_a long, idx_a long, block_b long, idx_b long").distinct()
-    wanted = pairs.select(F.col("block_a").alias("block"), F.col("idx_a").alias("idx")).union(pairs.select("block_b", "idx_b")).distinct()
-    lines = dealt.groupBy("__block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "block long, idx long, doc long, place long, line string")
-    side = lambda x: lines.select(*[F.col(c).alias(f"{c}_{x}") for c in ("block", "idx", "doc", "place", "line")])
-    both = pairs.join(side("a"), ["block_a", "idx_a"]).join(side("b"), ["block_b", "idx_b"])
-    # one document's lines are all in one block, where place tells their order
-    first_is_a = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("place_a") < F.col("place_b")))
-    both = both.select(F.when(first_is_a, F.col("block_b")).otherwise(F.col("block_a")).alias("block"), F.when(first_is_a, F.col("idx_b")).otherwise(F.col("idx_a")).alias("idx"), "line_a", "line_b")
-    near = both.mapInArrow(verify, "block long, idx long").distinct()
+    sent = dealt.groupBy("__block").cogroup(verdicts.groupBy("block")).applyInArrow(sign, MESSAGE)
+    refs = "short long, block_a long, idx_a long, block_b long, idx_b long"
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """(block, idx) of lines that are near to the earlier one of a pair."""
+        pairs = pairs.select("block_a", "idx_a", "block_b", "idx_b").distinct()
+        wanted = pairs.select(F.explode(F.array(F.struct(F.col("block_a").alias("block"), F.col("idx_a").alias("idx")), F.struct(F.col("block_b").alias("block"), F.col("idx_b").alias("idx")))).alias("w")).select("w.*").distinct()
+        lines = dealt.groupBy("__block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "block long, idx long, doc long, place long, line string")
+        side = lambda x: lines.select(*[F.col(c).alias(f"{c}_{x}") for c in ("block", "idx", "doc", "place", "line")])
+        both = pairs.join(side("a"), ["block_a", "idx_a"]).join(side("b"), ["block_b", "idx_b"])
+        # one document's lines are all in one block, where place tells their order
+        first_is_a = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("place_a") < F.col("place_b")))
+        both = both.select(F.when(first_is_a, F.col("block_b")).otherwise(F.col("block_a")).alias("block"), F.when(first_is_a, F.col("idx_b")).otherwise(F.col("idx_a")).alias("idx"), "line_a", "line_b")
+        return both.mapInArrow(verify, "block long, idx long").distinct()
+
+    first = sent.groupBy("bucket").applyInArrow(meet, refs)
+    near = decided(first.filter("short = 0"))
+    left = first.filter("short = 1").select("block_a", "idx_a", F.col("block_b").alias("at"))
+    left = left.join(near, (left.block_a == near.block) & (left.idx_a == near.idx), "left_anti")
+    rest = sent.groupBy("bucket").cogroup(left.groupBy("at")).applyInArrow(meet_rest, refs)
+    near = near.unionByName(decided(rest))
 
     def pack(table: pa.Table) -> pa.Table:
         return answers([(table["block"][0].as_py(), 2, table["idx"].to_numpy().astype(np.int64).tobytes())])

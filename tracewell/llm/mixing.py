@@ -1,11 +1,11 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-The words of a source, document after document, are cut into blocks of equal length. The mix is a row of slots dealt
-to output shards of shard_slots slots. Which source fills a slot is drawn as a multinomial with the targets as
-probabilities, given its totals: a pseudorandom permutation of all slots scatters each source's exact number of slots
-over the shards, so counts per shard vary as random draws do, but every source ends at its target. A source's slots go
-through a pseudorandom permutation of its block indices, anew for each pass over the source, and slots join blocks by
-index. So no block is taken a second time before all have been taken once, and none more than twice.
+The words of a source, document after document, are cut into blocks of equal length. The mix is a row of output shards of
+shard_slots slots. How many slots of a shard each source has is a multinomial draw with the targets as probabilities, given
+the totals: a pseudorandom permutation of all slots scatters each source's exact number of slots over the shards, and their
+counts per shard and source are the draw. From these counts everything follows: a source's slots are numbered shard
+after shard, their numbers go through a pseudorandom permutation of its block indices, anew for each pass over the
+source, and slots join blocks by index. So no block is taken a second time before all have been taken once, and none more than twice.
 
 Permutations are swap-or-not networks: each round maps index x to (key - x) mod n or leaves it, by a hash that both
 share; every round is its own inverse, for any n, with no table and no walk. Prefix sums are taken in two levels
@@ -23,6 +23,8 @@ ROUNDS = 12
 #: Longest block in words; a small source has 1 / PARTS of its size, one word at least, so that its slots can meet its target.
 BLOCK_WORDS, PARTS = 64, 512
 SHARD_SLOTS = 4096
+#: Shards whose counts are summed in one window.
+MANY_SHARDS = 1024
 #: Sources up to which the table of sources is broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 20_000
 
@@ -109,14 +111,23 @@ def mix(
         .withColumn("part", F.explode(F.expr("sequence(0L, (slots - 1) div 8192)")))
         .repartition(parts, "source_no", "part")
         .withColumn("j", F.explode(F.expr("sequence(part * 8192, least(slots, (part + 1) * 8192) - 1)")))
-        .withColumn("pass", F.expr("j div blocks"))
-        .withColumn("i", F.col("j") % F.col("blocks"))
     )
-    slots = permuted(slots, "i", "blocks", [F.lit(seed), F.col("source_no"), F.col("pass")], "block")
+    # the draw: slots of each source in each shard
+    slots = permuted(slots.withColumn("g", F.col("first") + F.col("j")), "g", "all", [F.lit(seed + 1)], "place")
+    drawn = slots.groupBy("source_no", F.expr(f"place div {SHARD_SLOTS}").alias("shard")).agg(F.count("*").alias("n")).withColumn("many", F.expr(f"shard div {MANY_SHARDS}"))
+    drawn = settled(drawn)
+    # where in its source's row of slots a shard's share begins, in two levels; and where in the shard a source's share does
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = drawn.groupBy("source_no", "many").agg(F.sum("n").alias("most")).withColumn("lo", F.coalesce(F.sum("most").over(upto("source_no").orderBy("many")), F.lit(0)))
+    drawn = drawn.join(before.drop("most"), ["source_no", "many"]).withColumn("lo", F.col("lo") + F.coalesce(F.sum("n").over(upto("source_no", "many").orderBy("shard")), F.lit(0)))
     if pieces:
-        slots = slots.withColumn("g", F.col("first") + F.col("j"))
-        slots = permuted(slots, "g", "all", [F.lit(seed + 1)], "place")
-        slots = slots.select("source_no", "block", F.struct(F.expr(f"place div {SHARD_SLOTS}").alias("shard"), (F.col("place") % SHARD_SLOTS).alias("slot"), F.col("pass")).alias("at"))
+        drawn = drawn.withColumn("from", F.coalesce(F.sum("n").over(upto("shard").orderBy("source_no")), F.lit(0))).withColumn("held", F.sum("n").over(Window.partitionBy("shard")))
+    slots = drawn.join(small(plan.select("source_no", "blocks")), "source_no").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("j", F.col("lo") + F.col("i"))
+    slots = slots.withColumn("pass", F.expr("j div blocks")).withColumn("j", F.col("j") % F.col("blocks"))
+    slots = permuted(slots, "j", "blocks", [F.lit(seed), F.col("source_no"), F.col("pass")], "block")
+    if pieces:
+        slots = permuted(slots.withColumn("i", F.col("from") + F.col("i")), "i", "held", [F.lit(seed + 2), F.col("shard")], "slot")
+        slots = slots.select("source_no", "block", F.struct("shard", "slot", "pass").alias("at"))
         drawn = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"), F.collect_list("at").alias("ats"))  # two at most
     else:
         drawn = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))

@@ -5,17 +5,18 @@ Used by the suffix-array operator (symbols are bytes) and the suffix-automaton o
 1. Documents are dealt into blocks. A block turns each document into spans: runs of windows that share their
    minimizer k-gram. Two equal windows have equal minimizers at the same place, so they lie in spans of one key.
 2. A block sends each distinct (key, print of the span) once, with its least document id, to a bucket by key. The
-   bucket answers per (block, span): repeated (an earlier document has the whole span), contested (the corpus' first
-   of this print, while other prints share its key) or nothing. That is the duplicate detection on prefixes before a
-   string sort; a key that occurs in a third of all documents arrives once per block and print.
-3. Contested spans go to the buckets again, with their symbols, where the operator's own method says which of their
-   windows occur earlier. A key with more than HOT contested spans would fill one task: its spans are split into
-   single windows, which go to buckets by the window's own hash and are answered as in step 2.
+   bucket answers which spans share their key with another block's span, or with another span of their block: only
+   those can hold a repeat. This is a filter on prefixes; it decides nothing about repeats.
+3. Those spans go to the buckets again, with their symbols, where the operator's own method says which of their
+   windows occur earlier. A key with more than HOT spans would fill one task: its spans go window by window, to buckets by
+   the window's own hash, and through the same method.
 4. Blocks mark the windows found and cut the symbols that they cover.
 
 Only counts reach the driver. All steps are deterministic functions of the blocks, so lost tasks can rerun.
 """
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from . import kernels as K
 from .blocks import block_count, by_id, in_blocks
 
 U = np.uint64
-#: Contested spans of one key that a task takes together.
+#: Spans of one key that a task takes together.
 HOT = 4000
 REPEATED, CONTESTED, SPLIT = 1, 2, 3
 MESSAGE = "kind int, bucket long, block long, idx long, doc long, pos long, head int, count int, key long, data binary"
@@ -121,6 +122,23 @@ def settle(rows: pa.Table, hot: int) -> list[tuple]:
     return out
 
 
+def shared(rows: pa.Table, hot: int) -> list[tuple]:
+    """For messages of one bucket: (block, indices and verdicts) of the spans whose key another span has."""
+    blocks, base = rows["block"].to_numpy(), rows["idx"].to_numpy()
+    parts = [np.frombuffer(x, U).reshape(3, -1)[0] for x in rows["data"].to_pylist()]
+    sizes = np.array([len(p) for p in parts])
+    key, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+    idx = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + base[row]
+    _, inverse, many = np.unique(key, return_inverse=True, return_counts=True)
+    many = many[inverse]
+    verdict = np.where(many > hot, SPLIT, np.where(many > 1, CONTESTED, 0))
+    keep = verdict > 0
+    order = np.argsort(blocks[row[keep]], kind="stable")
+    at, idx, verdict = blocks[row[keep]][order], idx[keep][order], verdict[keep][order]
+    cuts = np.flatnonzero(np.diff(at)) + 1
+    return [(int(at[lo]), np.concatenate([idx[lo:hi].astype(U), verdict[lo:hi].astype(U)]).tobytes()) for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True) if hi > lo]
+
+
 def masks(block: np.ndarray, idx: np.ndarray, mask: np.ndarray) -> list[tuple]:
     """Rows (block, data) that say which windows of which spans occur earlier."""
     keep = mask != 0
@@ -131,8 +149,8 @@ def masks(block: np.ndarray, idx: np.ndarray, mask: np.ndarray) -> list[tuple]:
     return [(int(block[lo]), np.concatenate([idx[lo:hi].astype(U), mask[lo:hi]]).tobytes()) for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True) if hi > lo]
 
 
-def split_windows(b: Block, spans: np.ndarray, n: int):
-    """Every window of these spans: its hash and the span and place it stands at; sorted by hash, then place."""
+def split_windows(b: Block, spans: np.ndarray, n: int) -> tuple[Block, np.ndarray, np.ndarray]:
+    """The block's distinct windows of these spans, as spans of one window; and, of all of them, place and distinct window."""
     count = b.count[spans]
     span = np.repeat(spans, count)
     at = b.start[span] + np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count)
@@ -145,7 +163,13 @@ def split_windows(b: Block, spans: np.ndarray, n: int):
             value[here] = K.ranges(sums, at[here] - lo, at[here] - lo + n)
     value = K.mix(value)
     order = np.lexsort((at, value))
-    return value[order], at[order]
+    value, at = value[order], at[order]
+    fresh = np.ones(len(value), bool)
+    fresh[1:] = value[1:] != value[:-1]
+    w = copy.copy(b)
+    w.start = w.anchor = at[fresh]
+    w.key, w.count, w.first = value[fresh], np.ones(int(fresh.sum()), np.int64), np.arange(int(fresh.sum()))
+    return w, at, np.cumsum(fresh) - 1
 
 
 def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int, pack, method, id_col: str = "doc_id", text: str = "text", hot: int = HOT, blocks: int | None = None) -> DataFrame:
@@ -166,7 +190,7 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
 
     def judge(table: pa.Table) -> pa.Table:
         K.release()
-        return answers([(block, 1, data) for block, data in settle(table, hot)])
+        return answers([(block, 1, data) for block, data in shared(table, hot)])
 
     verdicts = dealt.groupBy("block").applyInArrow(announce, MESSAGE).groupBy("bucket").applyInArrow(judge, ANSWER)
 
@@ -190,19 +214,16 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
         if len(spans):
             rows += pack(b, spans, count, block)
         if (got[1] == SPLIT).any():
-            value, at = split(b, got)
-            fresh = np.ones(len(value), bool)
-            fresh[1:] = value[1:] != value[:-1]
-            rows += b.send(block, count, 3, value[fresh], np.zeros(int(fresh.sum()), U), b.ids[b.doc_of(at[fresh])])
+            w, _, _ = split(b, got)
+            rows += [(3, *r[1:]) for r in pack(w, w.first, count, block)]
         return messages(rows)
 
     def decide(table: pa.Table) -> pa.Table:
         K.release()
         kinds, rows = table["kind"].to_numpy(), []
-        if (kinds == 3).any():
-            rows += [(block, 3, data) for block, data in settle(table.filter(pa.array(kinds == 3)), 1 << 62)]
-        if (kinds == 2).any():
-            rows += [(block, 2, data) for block, data in method(table.filter(pa.array(kinds == 2)))]
+        for kind in (2, 3):
+            if (kinds == kind).any():
+                rows += [(block, kind, data) for block, data in method(table.filter(pa.array(kinds == kind)))]
         return answers(rows)
 
     fought = dealt.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(contest, MESSAGE)
@@ -219,20 +240,19 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
             np.add.at(steps, first, 1)
             np.add.at(steps, first + windows - 1 + n, -1)
 
-        whole = b.again.copy()
-        whole[b.first[got[0][got[1] == REPEATED].astype(np.int64)]] = True
-        cover(b.start[whole], b.count[whole])
+        cover(b.start[b.again], b.count[b.again])
         idx, mask = read(right, 2)
         span = b.first[idx.astype(np.int64)]
         for w in range(n - k + 1 if len(idx) else 0):
             on = (mask >> U(w) & U(1)).astype(bool)
             cover(b.start[span[on]] + w, 1)
         if (got[1] == SPLIT).any():
-            value, at = split(b, got)
-            fresh = np.ones(len(value), bool)
-            fresh[1:] = value[1:] != value[:-1]
-            early = np.flatnonzero(fresh)[read(right, 3)[0].astype(np.int64)]
-            cover(np.concatenate([at[~fresh], at[early]]), 1)
+            w, at, which = split(b, got)
+            early = np.zeros(len(w.first), bool)
+            early[read(right, 3)[0].astype(np.int64)] = True
+            again = np.ones(len(at), bool)
+            again[np.searchsorted(which, w.first)] = False
+            cover(at[again | early[which]], 1)
         return cut(b, np.cumsum(steps[:-1], out=steps[:-1]) > 0)
 
     both = verdicts.unionByName(found)
