@@ -73,6 +73,52 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(c.of(x), c.of(y)))
 
 
+def test_bitmaps_never_part_similar_sets():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    c = Classes(8, 10)
+    fold = lambda b, w: b if len(b) * 8 == w else fold(b[: len(b) // 2] | b[len(b) // 2 :], w)
+    for _ in range(2000):
+        size = int(r.integers(1, 700))
+        x = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[int(r.integers(0, size // 8 + 2)) :], r.integers(0, 2**63, int(r.integers(0, size // 8 + 2)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if len(y) and 10 * both >= 8 * (len(x) + len(y) - both):
+            levels = {c.level(len(x)), c.level(len(y))}
+            assert max(levels) - min(levels) <= 1
+            w = c.width(max(levels))
+            a, b = (fold(np.frombuffer(c.bits(s), np.uint8), w) for s in (x, y))
+            assert np.unpackbits(a ^ b).sum() <= (len(x) + len(y)) * 2 // 18
+
+
+def test_cells_of_large_regions(spark, monkeypatch):
+    """With small leaves and regions every step is entered: bitmaps in blocks, cells by shuffles, dense cells, blocks."""
+    from tracewell.llm import jaccard_join as j
+
+    rounds = []
+    monkeypatch.setattr(j, "BLOCK", 16)
+    monkeypatch.setattr(j, "divide", lambda *a, f=j.divide: rounds.append(1) or f(*a))
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in near_documents(df, 3, 8, 10, region=4).collect())
+    assert got == brute(rows, 3, 8, 10) and rounds
+
+
+def test_cells_in_a_task():
+    import numpy as np
+
+    from tracewell.llm.jaccard_join import links_within, voronoi_links
+
+    r = np.random.default_rng(5)
+    for seed in range(20):
+        bases = [np.unique(r.integers(0, 2**63, 80, dtype=np.uint64)) for _ in range(1 + seed % 7)]
+        sets = [np.unique(np.concatenate([r.permutation(bases[r.integers(len(bases))])[: 80 - r.integers(0, 20)], r.integers(0, 2**63, r.integers(0, 20), dtype=np.uint64)])) for _ in range(120)]
+        i, j = voronoi_links(sets, 8, 10)
+        want = {(a, b) for a, b in zip(*np.nonzero(links_within(sets, 8, 10))) if a < b}
+        assert {(min(a, b), max(a, b)) for a, b in zip(i, j)} == want
+
+
 def test_null_and_repeated_ids(spark):
     words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
     near = lambda k, *new: " ".join([*words[k].split()[: 60 - len(new)], *new])

@@ -12,7 +12,9 @@ Unrelated documents are all at distance 1 from each other and from any pivot, so
 classes than a similar pair can differ in elements, so similar sets agree on whole classes, and sets that agree are of one
 region. There are twice as many classes as are needed for one to agree, so half of them need not be told: those found to be
 frequent and those of few elements, by which documents that share no more than a passage would chain their regions. Which are frequent is
-taken from a sample, which only orders them: any order gives the same links. Class signatures are folded where they arise, so one that a third of all
+taken from a sample, which only orders them: any order gives the same links. Long documents of many shared passages still
+chain; so regions are then split by bitmaps of the sets, a few bits for each element: the bits in which two sets differ are at
+most the elements in which they do, so what is not joined by close bitmaps cannot link. Class signatures are folded where they arise, so one that a third of all
 documents share is never one task, and nothing is emitted per pair.
 
 Elements are 64-bit hashes of n-grams. A set goes by a 64-bit hash of its own, not by a doc_id, which may be null or have
@@ -44,8 +46,10 @@ BUCKET_BYTES = 8 << 20
 SAMPLE, OFTEN, LEAST_OFTEN = 8, 1 << 16, 3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLIM = "doc_id long, key long, key2 long, n long, h1 long, h2 long"
-SLIM_SCHEMA = pa.schema([(x, pa.int64()) for x in ("doc_id", "key", "key2", "n", "h1", "h2")])
+SLIM = "doc_id long, key long, key2 long, n long, level long, h1 long, h2 long, bits binary"
+SLIM_SCHEMA = pa.schema([(x, pa.binary() if x == "bits" else pa.int64()) for x in ("doc_id", "key", "key2", "n", "level", "h1", "h2", "bits")])
+#: Bitmaps that are compared in one go.
+BLOCK = 1024
 PAIR = "a long, b long"
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SETS = "region long, rep long, elements binary"
@@ -93,6 +97,19 @@ class Classes:
         #: Signatures for each element of a set, about.
         self.rate = 4 * (den - num) / (den + num)
 
+    def level(self, n: int) -> int:
+        return int(np.searchsorted(self.top, n))
+
+    def width(self, tag: int) -> int:
+        """Bits of the bitmaps that sets of this level and of the one below are compared by."""
+        return max(256, 1 << (2 * int(self.top[tag])).bit_length() - 1)
+
+    def bits(self, s: np.ndarray) -> bytes:
+        """The bitmap of a set, for the level above its own; half as wide a one is the halves, one over the other."""
+        out = np.zeros(self.width(self.level(len(s)) + 1), np.uint8)
+        out[(K.mix(s) & U(len(out) - 1)).astype(np.int64)] = 1
+        return np.packbits(out).tobytes()
+
     def of(self, s: np.ndarray, often: tuple[np.ndarray, np.ndarray] | None = None, every: bool = False) -> np.ndarray:
         """The signatures of a set; with every, all those that say something.
 
@@ -100,7 +117,7 @@ class Classes:
         needs to tell only its d + 1 rarest, in an order that all sets share (the prefix filter): by how often signatures
         were seen (often: values, ascending, and counts), and then classes of many elements first, as those agree least by chance.
         """
-        level = int(np.searchsorted(self.top, len(s)))
+        level = self.level(len(s))
         out = []
         for tag in (level, level + 1):
             d = int(self.differ[tag])
@@ -241,7 +258,9 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     def slim(parts):
         for rows, sets in batches(parts):
             h = names_of(sets)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), rows.column("key2"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1])], schema=SLIM_SCHEMA)
+            n_of = [len(s) for s in sets]
+            columns = [pa.array(n_of, pa.int64()), pa.array([classes.level(x) for x in n_of], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([classes.bits(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), rows.column("key2"), *columns], schema=SLIM_SCHEMA)
 
     every = settled(base.mapInArrow(slim, SLIM))
     full = every.filter("n > 0")
@@ -308,16 +327,18 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     agree = base.select("text").mapInArrow(announce, BUCKET).groupBy("bucket").applyInArrow(meet, PAIR)
     regions = components(agree, "a", "b").select(F.col("node").alias("short"), F.col("component").alias("region"))
     # of each set one row says where its text is, and the least doc_id is told
-    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("key", "key2")).alias("key"))
-    needed = settled(reps.withColumn("short", F.shiftrightunsigned("h1", 24)).join(regions, "short").select("h1", "h2", "rep", "key.key", "key.key2", "region"))
+    reps = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("key", "key2", "level", "n", "bits")).alias("row"))
+    held = settled(reps.withColumn("short", F.shiftrightunsigned("h1", 24)).join(regions, "short").select("h1", "h2", "rep", "row.*", "region"))
+    closer = components(refined(held.select("region", F.col("h1").alias("rep"), "level", "n", "bits"), classes, num, den), "a", "b")
+    needed = settled(held.drop("region", "level", "n", "bits").join(closer.select(F.col("node").alias("h1"), F.col("component").alias("region")), "h1"))
 
     def elements(parts):
         for rows, sets in batches(parts):
             yield pa.RecordBatch.from_arrays([rows.column("region"), rows.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=SETS_SCHEMA)
 
-    # the one time that texts are shuffled; equal rows are folded before
-    texts = base.groupBy("key", "key2").agg(F.first("text").alias("text"))
-    sets = texts.join(needed.select("key", "key2", F.col("h1").alias("rep"), "region"), ["key", "key2"]).select("text", "rep", "region").mapInArrow(elements, SETS)
+    # only texts of sets that are left in a region are fetched, equal rows once
+    texts = base.join(needed.select("key", "key2", F.col("h1").alias("rep"), "region"), ["key", "key2"])
+    sets = texts.groupBy("rep").agg(F.first("text").alias("text"), F.first("region").alias("region")).select("text", "rep", "region").mapInArrow(elements, SETS)
     found = join_regions(settled(sets), num, den, region)
     # the least doc_id of a component, told to its sets
     groups = settled(components(found, "a", "b").withColumnRenamed("node", "h1").join(needed.select("h1", "rep"), "h1"))
@@ -328,6 +349,56 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
     return linked.unionByName(every.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def refined(sets: DataFrame, classes: Classes, num: int, den: int) -> DataFrame:
+    """A spanning forest (a, b) of the sets in a region whose bitmaps are close enough for a link. sets: region, rep, level, n, bits.
+
+    Sets meet those of their own level and of the next. Groups over BLOCK sets are met block by block.
+    """
+    tagged = sets.withColumn("tag", F.explode(F.array("level", F.col("level") + 1))).drop("level")
+    sizes = settled(tagged.groupBy("region", "tag").agg(F.count("*").alias("size")).filter("size > 1"))
+    total = sizes.agg(F.sum("size"), F.max("size")).first()
+    tasks = max(24, int(total[0] or 0) // TASK)
+    rows = tagged.join(sizes, ["region", "tag"])
+    if (total[1] or 0) > BLOCK:
+        rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("pair", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j))"))).select("region", "tag", "rep", "n", "bits", "own", "pair.i", "pair.j")
+    else:
+        rows = rows.select("region", "tag", "rep", "n", "bits", *[F.lit(0).alias(x) for x in ("own", "i", "j")])
+
+    def compare(table: pa.Table) -> pa.Table:
+        K.release()
+        table = table.sort_by([(x, "ascending") for x in ("region", "tag", "i", "j", "rep")])
+        region, tag, rep, n, own, i, j = (table[x].to_numpy() for x in ("region", "tag", "rep", "n", "own", "i", "j"))
+        fresh = np.flatnonzero((np.diff(region) != 0) | (np.diff(tag) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        out = []
+        for lo, hi in zip([0, *fresh], [*fresh, len(rep)], strict=True):
+            if hi - lo < 2:
+                continue
+            width = classes.width(int(tag[lo]))
+            maps = []
+            for x in table["bits"].slice(lo, hi - lo).to_pylist():
+                m = np.frombuffer(x, np.uint8)
+                while len(m) * 8 > width:
+                    m = m[: len(m) // 2] | m[len(m) // 2 :]
+                maps.append(m)
+            maps = np.stack(maps)
+            both = np.zeros((hi - lo, hi - lo), np.float32)
+            for at in range(0, maps.shape[1], 512):
+                part = np.unpackbits(maps[:, at : at + 512], axis=1).astype(np.float32)
+                both += part @ part.T
+            ones = np.diag(both)
+            # similar sets differ in at most this many elements
+            most = (n[lo:hi, None] + n[None, lo:hi]) * (den - num) // (den + num)
+            near = ones[:, None] + ones[None, :] - 2 * both <= most
+            np.fill_diagonal(near, False)
+            root = span(near, rep[lo:hi])
+            some = root != rep[lo:hi]
+            out.append(np.stack([rep[lo:hi][some], root[some]]))
+        return pairs(np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64))
+
+    return rows.withColumn("task", F.pmod(F.xxhash64("region", "tag", "i", "j"), F.lit(tasks))).groupBy("task").applyInArrow(compare, PAIR)
+
+
 def names_of(sets: list[np.ndarray]) -> np.ndarray:
     """Two hashes of each set."""
     h = np.array([[K.mix(s).sum(dtype=U), K.mix(s ^ U(K.BASE)).sum(dtype=U)] for s in sets], U).reshape(-1, 2)
