@@ -4,18 +4,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def neighbours(probes: DataFrame, samples: DataFrame, by: str, ts: str, value: str, id_col: str) -> DataFrame:
-    """Probes (by, id_col, ts) with before and after: structs (ts, value) of the samples at or before and at or after it.
+def around(probes: DataFrame, samples: DataFrame, by: str, ts: str, values: list[str], back: bool = True, ahead: bool = True) -> DataFrame:
+    """Probes with before and after: structs (ts, *values) of the samples at or before and at or after each.
 
-    Samples of equal time count on both sides; of samples that tie, the largest value is before and the smallest after.
-    Null where there is none.
+    Samples of equal time count on both sides; of samples that tie, the largest is before and the smallest after. Null where
+    there is none. Either side can be left out; each is a running last value over one sorted pass, so a key of n rows takes n steps.
     """
-    p = probes.select(by, ts, F.col(id_col), F.lit(None).cast("struct<ts:bigint,value:double>").alias("s"), F.lit(1).alias("side"))
-    s = samples.select(by, ts, F.lit(None).cast("bigint").alias(id_col), F.struct(F.col(ts).cast("bigint").alias("ts"), F.col(value).cast("double").alias("value")).alias("s"), F.lit(0).alias("side"))
-    back = Window.partitionBy(by).orderBy(ts, "side", "s").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(by).orderBy(ts, F.col("side").desc(), "s").rowsBetween(0, Window.unboundedFollowing)
-    both = p.unionByName(s).withColumn("before", F.last("s", True).over(back)).withColumn("after", F.first("s", True).over(ahead))
-    return both.filter("side = 1").select(by, id_col, ts, "before", "after")
+    names = [c for c in probes.columns if c not in (by, ts)]
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    sample = F.struct(F.col(ts).alias("ts"), *[F.col(v) for v in values])
+    shape = f"struct<ts:{kinds[ts]}," + ",".join(f"{v}:{kinds[v]}" for v in values) + ">"
+    p = probes.select(by, ts, *names, F.lit(None).cast(shape).alias("__s"), F.lit(1).alias("__side"))
+    s = samples.select(by, ts, *[F.lit(None).cast(probes.schema[n].dataType).alias(n) for n in names], sample.alias("__s"), F.lit(0).alias("__side"))
+    both = p.unionByName(s)
+    running = lambda *order: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if back:
+        both = both.withColumn("before", F.last("__s", True).over(running(ts, "__side", "__s")))
+    if ahead:  # the same, from the end: nulls of probes come after the samples of their time
+        both = both.withColumn("after", F.last("__s", True).over(running(F.col(ts).desc(), "__side", F.col("__s").desc())))
+    return both.filter("__side = 1").drop("__s", "__side")
+
+
+def neighbours(probes: DataFrame, samples: DataFrame, by: str, ts: str, value: str, id_col: str, **sides: bool) -> DataFrame:
+    """around() for one value as a double and times in whole numbers."""
+    samples = samples.select(by, F.col(ts).cast("bigint").alias(ts), F.col(value).cast("double").alias("value"))
+    return around(probes.select(by, ts, id_col), samples, by, ts, ["value"], **sides)
+
+
+def last_before(probes: DataFrame, samples: DataFrame, by: str, ts: str, values: list[str], name: str) -> DataFrame:
+    """Probes with name: the struct (ts, *values) of the last sample at or before each."""
+    return around(probes, samples, by, ts, values, ahead=False).withColumnRenamed("before", name)
 
 
 def interpolated(ts: str) -> Column:

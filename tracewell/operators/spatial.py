@@ -21,21 +21,3 @@ def histogram_percentiles(points: DataFrame, value: str, bin_size: float, shares
     running = bins.withColumn("cum", F.sum("n").over(Window.orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
     picked = running.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     return picked.filter(F.col("cum") >= F.col("share") * F.col("all")).groupBy("share").agg(F.min("bin").alias("bin"))
-
-
-def rotate(v: tuple[Column, Column, Column], q: tuple[Column, Column, Column, Column]) -> tuple[Column, Column, Column]:
-    """v turned by the unit quaternion (x, y, z, w)."""
-    x, y, z, w = q
-    tx, ty, tz = (2 * (y * v[2] - z * v[1]), 2 * (z * v[0] - x * v[2]), 2 * (x * v[1] - y * v[0]))
-    return v[0] + w * tx + y * tz - z * ty, v[1] + w * ty + z * tx - x * tz, v[2] + w * tz + x * ty - y * tx
-
-
-def product(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column, Column, Column]:
-    """a after b, of quaternions (x, y, z, w)."""
-    (ax, ay, az, aw), (bx, by, bz, bw) = a, b
-    return aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz
-
-
-def yaw(q: tuple[Column, Column, Column, Column]) -> Column:
-    x, y, z, w = q
-    return F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))

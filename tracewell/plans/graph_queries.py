@@ -1,6 +1,6 @@
 """Frame trees and dataflow graphs: region, nation, customer and order make a tree; an order's return flags are parents."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -75,7 +75,7 @@ def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE e AS {TREE}, r AS (SELECT child AS frame, 1 AS depth, parent AS root FROM e UNION ALL SELECT frame, depth + 1, e.parent FROM r JOIN e ON r.root = e.child) SELECT frame, root, depth FROM r WHERE root NOT IN (SELECT child FROM e)")
 def tree_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.root_of(tree(spark, sf_dir), 3)
+    return graph.root_of(tree(spark, sf_dir))
 
 
 @query(
@@ -84,7 +84,7 @@ def tree_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tree_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("child"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("parent"))
-    return graph.in_cycles(edges.coalesce(1), 26)
+    return graph.in_cycles(edges)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -98,11 +98,11 @@ MARKED = "(SELECT 'n' || n_nationkey AS f FROM nation WHERE n_nationkey % 5 = 0
 
 @query(f"WITH e AS {TREE}, m AS {MARKED} SELECT f AS frame FROM m WHERE f NOT IN (SELECT child FROM e JOIN m ON e.parent = m.f)")
 def tree_outermost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked frames none of whose ancestors is marked (here at most one step apart)."""
+    """Marked frames none of whose ancestors is marked."""
     n = table(spark, sf_dir, "nation").filter("n_nationkey % 5 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("frame"))
     c = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("frame"))
     marked = n.unionByName(c)
-    up = graph.climbs(tree(spark, sf_dir), 3).join(marked.withColumnRenamed("frame", "ancestor"), "ancestor", "left_semi").select("frame")
+    up = graph.climbed(tree(spark, sf_dir), marked).filter("seen").select("frame")
     return marked.join(up, "frame", "left_anti")
 
 
@@ -159,3 +159,88 @@ def frame_rename_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("before"), F.when(F.col("n_name").isin("NATION_1", "FRANCE"), "base").otherwise(F.concat(F.lit("robot/"), F.col("n_name"))).alias("after"))
     n = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
     return named.join(n, "n_nationkey").groupBy("before", "after").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH RECURSIVE e AS {TREE}, b AS (SELECT child AS a, parent AS b FROM e WHERE child NOT LIKE 'o%' UNION SELECT parent, child FROM e WHERE child NOT LIKE 'o%'), r AS (SELECT 'r0' AS frame, 0 AS hops UNION SELECT b.b, hops + 1 FROM r JOIN b ON r.frame = b.a WHERE hops < 6) SELECT frame, min(hops) AS hops FROM r GROUP BY frame")
+def static_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from one frame to every other over edges and their inverses."""
+    edges = tree(spark, sf_dir).filter("child NOT LIKE 'o%'")
+    return graph.hops(edges, spark.createDataFrame([("r0",)], "frame string"))
+
+
+@query(f"WITH RECURSIVE e AS {TREE}, r AS (SELECT child AS frame, parent AS up FROM e UNION ALL SELECT frame, e.parent FROM r JOIN e ON r.up = e.child) SELECT up AS root, count(*) + 1 AS processes FROM r WHERE up NOT IN (SELECT child FROM e) GROUP BY up")
+def tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per root: its descendants and itself."""
+    return graph.root_of(tree(spark, sf_dir)).groupBy("root").agg((F.count("*") + 1).alias("processes"))
+
+
+@query(f"SELECT count(*) AS roots, count(*) > 1 AS forest FROM (SELECT DISTINCT parent FROM {TREE} WHERE parent NOT IN (SELECT child FROM {TREE}))")
+def tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.roots(tree(spark, sf_dir)).agg(F.count("*").alias("roots")).withColumn("forest", F.col("roots") > 1)
+
+
+@query(f"SELECT child, parent, n, row_number() OVER (PARTITION BY child ORDER BY n DESC, parent) AS place FROM (SELECT child, parent, count(*) AS n FROM {POSES} GROUP BY 1, 2)")
+def parent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each parent was published for a child, the most frequent first."""
+    votes = poses(spark, sf_dir).groupBy("child", "parent").agg(F.count("*").alias("n"))
+    return votes.withColumn("place", F.row_number().over(Window.partitionBy("child").orderBy(F.desc("n"), "parent")))
+
+
+STREAMED = "(SELECT l_partkey % 500 AS child, l_suppkey % 7 AS parent, l_linestatus AS stream, round(l_discount * 100)::BIGINT AS pose, l_shipdate AS t, l_orderkey AS k, l_linenumber AS j FROM lineitem)"
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") % 500).alias("child"), (F.col("l_suppkey") % 7).alias("parent"), F.col("l_linestatus").alias("stream"), F.round(F.col("l_discount") * 100).cast("long").alias("pose"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at")
+    )
+
+
+def last_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = streamed(spark, sf_dir).groupBy("child", "parent", "stream")
+    return g.agg(F.count("*").alias("n"), F.min("at.l_shipdate").alias("first"), F.max("at.l_shipdate").alias("last"), F.max_by("pose", "at").alias("pose"))
+
+
+@query(
+    f"""SELECT child, parent, string_agg(stream, ',' ORDER BY stream) AS streams, sum(n)::BIGINT AS n, min(first) AS first_day, max(last) AS last_day, string_agg(stream || '=' || pose, ',' ORDER BY stream) AS last_poses
+    FROM (SELECT child, parent, stream, count(*) AS n, min(t) AS first, max(t) AS last, arg_max(pose, (t, k, j)) AS pose FROM {STREAMED} GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+)
+def edge_profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per edge: streams, messages, first and last time and each stream's last pose."""
+    streams = F.array_sort(F.collect_list(F.struct("stream", "pose")))
+    out = last_poses(spark, sf_dir).groupBy("child", "parent").agg(streams.alias("s"), F.sum("n").alias("n"), F.min("first").alias("first_day"), F.max("last").alias("last_day"))
+    joined = F.array_join(F.transform("s", lambda x: F.concat(x["stream"], F.lit("="), x["pose"].cast("string"))), ",")
+    return out.select("child", "parent", F.array_join("s.stream", ",").alias("streams"), "n", "first_day", "last_day", joined.alias("last_poses"))
+
+
+@query(f"SELECT child, parent FROM (SELECT child, parent, stream, arg_max(pose, (t, k, j)) AS pose FROM {STREAMED} GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) FILTER (stream = 'F') > 0 AND count(*) FILTER (stream = 'O') > 0 AND count(DISTINCT pose) > 1")
+def edge_two_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges on a static and a dynamic stream whose last poses differ."""
+    g = last_poses(spark, sf_dir).groupBy("child", "parent").agg(F.count_if(F.col("stream") == "F").alias("static"), F.count_if(F.col("stream") == "O").alias("moving"), F.countDistinct("pose").alias("answers"))
+    return g.filter("static > 0 AND moving > 0 AND answers > 1").select("child", "parent")
+
+
+@query(f"SELECT child, parent, max(abs(pose - first)) AS most FROM (SELECT *, first_value(pose) OVER (PARTITION BY child, parent ORDER BY t, k, j) AS first FROM {POSES}) GROUP BY 1, 2 HAVING max(abs(pose - first)) <= 1")
+def edge_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose poses all lie within a step of the first."""
+    g = poses(spark, sf_dir).groupBy("child", "parent").agg(F.min_by("pose", F.struct("t", "k", "j")).alias("first"), F.min("pose").alias("lo"), F.max("pose").alias("hi"))
+    return g.withColumn("most", F.greatest(F.col("hi") - F.col("first"), F.col("first") - F.col("lo"))).filter("most <= 1").select("child", "parent", "most")
+
+
+@query(f"WITH d AS (SELECT topic, type, min(direction) AS direction, count(*) AS n FROM {PORTS} GROUP BY 1, 2 HAVING count(DISTINCT direction) = 1) SELECT o.type, sum(o.n * i.n)::BIGINT AS pairs FROM d o JOIN d i USING (type) WHERE o.direction = 'out' AND i.direction = 'in' GROUP BY o.type")
+def dangling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per type: pairs of an output and an input that have no partner, from counts of either side."""
+    g = ports(spark, sf_dir).groupBy("topic", "type").agg(F.count_if(F.col("direction") == "out").alias("o"), F.count_if(F.col("direction") == "in").alias("i")).filter("o = 0 OR i = 0")
+    return g.groupBy("type").agg((F.sum("o") * F.sum("i")).alias("pairs")).filter("pairs > 0")
+
+
+@query(f"SELECT topic, direction, string_agg(module, ',' ORDER BY module) AS modules FROM {PORTS} GROUP BY 1, 2")
+def wiring_per_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ports(spark, sf_dir).groupBy("topic", "direction").agg(F.array_join(F.array_sort(F.collect_list("module")), ",").alias("modules"))
+
+
+@query(f"SELECT DISTINCT topic, type FROM {PORTS}")
+def port_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of either side."""
+    p = ports(spark, sf_dir)
+    side = lambda d: p.filter(F.col("direction") == d).select("topic", "type")
+    return side("out").union(side("in")).distinct()

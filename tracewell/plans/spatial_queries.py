@@ -5,6 +5,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import pose
 from ..operators import spatial
 from .registry import query, table
 
@@ -104,7 +105,7 @@ def widest_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rotate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turned by a quarter about z."""
     h = F.lit(math.sqrt(0.5))
-    x, y, z = spatial.rotate((F.col("x"), F.col("y"), F.col("z")), (F.lit(0.0), F.lit(0.0), h, h))
+    x, y, z = pose.rotate((F.lit(0.0), F.lit(0.0), h, h), (F.col("x"), F.col("y"), F.col("z")))
     return points(spark, sf_dir).select("vec_id", *[(F.round(c, 9) + 0.0).alias(n) for c, n in ((x, "x"), (y, "y"), (z, "z"))])
 
 
