@@ -51,10 +51,21 @@ def test_loser_tree_gives_order_and_prefixes():
     runs = []
     for _ in range(7):
         t = sorted("".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(r.randint(1, 40)))
-        back, shared, _ = front_decoded(front_coded(t) + b"rest")
-        assert back == t
-        runs.append((back, shared))
-    out = list(merge(runs))
-    texts = [runs[k][0][i] for k, i, _ in out]
-    assert texts == sorted(x for t, _ in runs for x in t)
-    assert [s for *_, s in out][1:] == lcps(texts).tolist()[1:]
+        n, end, back = front_decoded(front_coded(t) + b"rest")
+        assert n == len(t) and (front_coded(t) + b"rest")[end:] == b"rest"
+        assert [x for x, _ in back] == t
+        runs.append(t)
+    out = list(merge([front_decoded(front_coded(t))[2] for t in runs]))
+    left = [iter(t) for t in runs]
+    texts = [next(left[k]) for k, _ in out]
+    assert texts == sorted(x for t in runs for x in t)
+    assert [s for _, s in out][1:] == lcps(texts).tolist()[1:]
+
+
+def test_very_long_text(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefghij ") for _ in range(300_000))
+    rows = [(1, long), (2, long[100_000:200_000]), (3, "x" + long[5000:5200] + "y" * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in remove_repeated_bytes(df).collect()}
+    assert got == {1: (0, 0), 2: (100_000, 1), 3: (200, 1)}

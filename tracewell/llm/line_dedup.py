@@ -8,7 +8,7 @@ shorter of the two. Documents are dealt into blocks, once; steps talk to blocks
 2. First lines are cut into one even segment more than edits are allowed. A line within that many edits of another has one of
    its segments, near to where it stood, so lines send index keys (length, digits, segment number, segment) and probe keys for the
    few substrings of each shorter length that the multi-match-aware windows allow. Lines that differ in their digits (the
-   numbered lines of a list, say) never meet. A key also carries counts of eight classes of code
+   numbered lines of a list, say) never meet. A key also carries counts of classes of code
    points: pairs whose counts differ by more than edits can are dropped where they meet, in pieces, and not emitted.
 3. One earlier line that is near decides a line. So a line is first paired with the few earlier ones of most like counts; their
    texts are fetched and the pairs decided by edit distance in a band of diagonals, bit-parallel over the band and side by
@@ -35,9 +35,12 @@ U = np.uint64
 MOST, LEAST = 2, 20
 #: Candidate pairs that a task looks at together, and code points of pairs that are compared side by side.
 PAIRS, GRID = 1 << 19, 1 << 21
+#: Classes of code points that are counted.
+CLASSES = 32
 #: Earlier lines that a line is first compared with, for each bucket it meets any in.
 FEW = 4
 IDX_BITS = 24
+FOLD = np.array([0, 1, 2, 1], np.int8)
 
 
 class Lines:
@@ -102,12 +105,9 @@ def keys(lines: list[bytes], most: int, least: int = 1) -> tuple[np.ndarray, np.
     offset = np.concatenate([[0], np.cumsum(size)])
     points = np.concatenate(text) if text else np.zeros(0, "<u4")
     flat = K.mix(points.astype(U) + U(1))
-    counts = np.zeros((len(lines), 8), np.int64)
     line_of = np.repeat(np.arange(len(lines)), size)
-    for c in range(8):
-        counts[:, c] = np.bincount(line_of[(flat & U(7)) == U(c)], minlength=len(lines))
-    # four bits a class: differences are taken modulo 16, which never makes them larger
-    profile = (counts & 15).astype(np.uint8)
+    # two bits a class: differences are taken modulo 4, which never makes them larger
+    profile = (np.bincount(line_of * CLASSES + (flat & U(CLASSES - 1)).astype(np.int64), minlength=len(lines) * CLASSES).reshape(-1, CLASSES) & 3).astype(np.uint8)
     sums = K.prefix(flat)
     # the digits of each line, in order: a digit's symbol is mixed with its place among the line's digits
     digit = np.flatnonzero((points >= 48) & (points <= 57))
@@ -173,8 +173,7 @@ def candidates(key: np.ndarray, ref: np.ndarray, probe: np.ndarray, profile: np.
         if wanted is not None:
             on &= wanted[a] | wanted[b]
         a, b = a[on], b[on]
-        apart = profile[a] - profile[b]
-        apart = np.abs(((apart + 8) & 15) - 8).sum(axis=1)
+        apart = FOLD[(profile[a] - profile[b]) & 3].sum(axis=1)
         on = apart <= 2 * most
         a, b, apart = a[on], b[on], apart[on]
         ways = [(a, b, place[a] >= place[b]), (b, a, place[b] >= place[a])]
@@ -317,8 +316,9 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
             cuts = np.flatnonzero(np.diff(to[order])) + 1
             for at in np.split(order, cuts):
                 if len(at):
-                    half = profile[line[at]]
-                    rows.append((2, int(to[at[0]]), block, None, None, None, None, None, None, entry[at].tobytes() + (half[:, ::2] << 4 | half[:, 1::2]).tobytes() + where[line[at]].tobytes()))
+                    four = profile[line[at]].reshape(len(at), -1, 4)
+                    counts = four[:, :, 0] | four[:, :, 1] << 2 | four[:, :, 2] << 4 | four[:, :, 3] << 6
+                    rows.append((2, int(to[at[0]]), block, None, None, None, None, None, None, entry[at].tobytes() + counts.tobytes() + where[line[at]].tobytes()))
         return messages(rows)
 
     pair_schema = pa.schema([(x, pa.int64()) for x in ("short", "block_a", "idx_a", "block_b", "idx_b")])
@@ -337,11 +337,11 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
         K.release()
         entries, profiles, refs, places = [], [], [], []
         for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
-            e = np.frombuffer(data, U, len(data) // 16)
-            half = np.frombuffer(data, np.uint8, len(e) * 4, len(e) * 8).reshape(-1, 4)
+            e = np.frombuffer(data, U, len(data) // 20)
+            counts = np.frombuffer(data, np.uint8, len(e) * 8, len(e) * 8).reshape(-1, 8)
             entries.append(e)
-            profiles.append(np.stack([half >> 4, half & 15], axis=2).reshape(-1, 8))
-            places.append(np.frombuffer(data, "<f4", len(e), len(e) * 12))
+            profiles.append(np.stack([counts >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(-1, CLASSES))
+            places.append(np.frombuffer(data, "<f4", len(e), len(e) * 16))
             refs.append((np.int64(block) << np.int64(IDX_BITS)) | ((e & U(low)) >> U(1)).astype(np.int64))
         e = np.concatenate(entries)
         got, short = candidates(e >> U(IDX_BITS), np.concatenate(refs), (e & U(1)).astype(bool), np.concatenate(profiles), most, np.concatenate(places), few, only)

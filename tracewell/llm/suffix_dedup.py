@@ -9,7 +9,7 @@ the minimizer, are the repeated windows.
 Buckets are by the prefix's hash and not by range: no later step needs one order over all buckets.
 """
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +50,19 @@ def front_coded(texts: list[bytes]) -> bytes:
     return np.array([len(texts)], "<u4").tobytes() + shared.astype("<u2").tobytes() + np.array([len(r) for r in rest], "<u2").tobytes() + b"".join(rest)
 
 
-def front_decoded(data: bytes) -> tuple[list[bytes], list[int], int]:
-    """The texts, their shared-prefix lengths, and the bytes read."""
+def front_decoded(data: bytes) -> tuple[int, int, Iterator[tuple[bytes, int]]]:
+    """How many texts there are, where they end in data, and the texts with their shared-prefix lengths, one after another."""
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    shared = np.frombuffer(data, "<u2", n, 4).tolist()
-    size = np.frombuffer(data, "<u2", n, 4 + 2 * n).tolist()
-    at, out, last = 4 + 4 * n, [], b""
-    for s, r in zip(shared, size, strict=True):
-        last = last[:s] + data[at : at + r]
-        at += r
-        out.append(last)
-    return out, shared, at
+    shared, size = np.frombuffer(data, "<u2", n, 4), np.frombuffer(data, "<u2", n, 4 + 2 * n)
+
+    def texts() -> Iterator[tuple[bytes, int]]:
+        at, last = 4 + 4 * n, b""
+        for s, r in zip(shared.tolist(), size.tolist(), strict=True):
+            last = last[:s] + data[at : at + r]
+            at += r
+            yield last, s
+
+    return n, 4 + 4 * n + int(size.sum(dtype=np.int64)), texts()
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -75,20 +77,19 @@ def common(a: bytes, b: bytes, at: int) -> int:
     return at
 
 
-def merge(runs: list[tuple[list[bytes], list[int]]]):
-    """Merges sorted runs with known shared prefixes; yields (run, index in it, prefix shared with the text yielded before).
+def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, int]]:
+    """Merges sorted runs of (text, prefix shared with the one before); yields (run, prefix shared with the text yielded before).
 
-    A loser tree. Each run's head carries the length of the prefix it shares with the last winner. Of two heads, the one
-    with the longer prefix is the smaller, with nothing compared; only at equal lengths are bytes beyond it read.
+    A loser tree; of each run only the head is held. A head carries the length of the prefix it shares with the last winner. Of
+    two heads, the one with the longer prefix is the smaller, with nothing compared; only at equal lengths are bytes beyond it read.
     """
     n = len(runs)
     if n == 1:
-        yield from ((0, i, s) for i, s in enumerate(runs[0][1]))
+        yield from ((0, s) for _, s in runs[0])
         return
     size = 1 << (n - 1).bit_length()
-    texts, shared = [r[0] for r in runs], [r[1] for r in runs]
-    at = [0] * n
-    head: list[bytes | None] = [t[0] if t else None for t in texts] + [None] * (size - n)
+    nothing = (None, 0)
+    head: list[bytes | None] = [next(r, nothing)[0] for r in runs] + [None] * (size - n)
     known = [0] * size
     losers = [0] * size
 
@@ -113,13 +114,8 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
         winners[node], losers[node] = (a, b) if less(a, b) else (b, a)
     win = winners[1]
     while head[win] is not None:
-        i = at[win]
-        yield win, i, known[win]
-        at[win] = i = i + 1
-        if i < len(texts[win]):
-            head[win], known[win] = texts[win][i], shared[win][i]
-        else:
-            head[win] = None
+        yield win, known[win]
+        head[win], known[win] = next(runs[win], nothing)
         node = (win + size) >> 1
         while node:
             other = losers[node]
@@ -150,28 +146,31 @@ def pack_for(n: int):
     return pack
 
 
-def method_for(n: int):
+def method_for(n: int, k: int):
+    width = n - k  # an anchor is at most so far into its window
+
     def method(table: pa.Table) -> list[tuple]:
         """Merges the bucket's runs and finds, per span, the windows that an earlier span has too."""
-        runs, meta, lefts = [], [], []
+        runs, meta, grids = [], [], []
         for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
-            texts, shared, at = front_decoded(data)
-            m = np.frombuffer(data[len(data) - 40 * len(texts) :], "<i8").reshape(5, -1)
-            ends = at + np.cumsum(m[3])
-            lefts.append([data[e - s : e] for e, s in zip(ends.tolist(), m[3].tolist(), strict=True)])
-            meta.append(np.vstack([m, np.full((1, len(texts)), block)]))
-            runs.append((texts, shared))
-        base = np.cumsum([0, *(len(r[0]) for r in runs)])
-        merged = np.array([(base[r] + i, s) for r, i, s in merge(runs)], np.int64)
-        m, left = np.concatenate(meta, axis=1)[:, merged[:, 0]], sum(lefts, [])
-        idx, doc, start, head, count, block = m
-        lcp = merged[:, 1]
-        width = int(head.max()) if len(head) else 0
-        # bytes to the left of the anchor, nearest first
-        grid = np.zeros((len(head), width + 1), np.uint8)
-        for row, i in enumerate(merged[:, 0].tolist()):
-            if left[i]:
-                grid[row, : len(left[i])] = np.frombuffer(left[i], np.uint8)[::-1]
+            n_texts, at, texts = front_decoded(data)
+            m = np.frombuffer(data[len(data) - 40 * n_texts :], "<i8").reshape(5, -1)
+            # bytes to the left of the anchor, nearest first
+            raw, ends = np.frombuffer(data, np.uint8, int(m[3].sum()), at), np.cumsum(m[3])
+            place = ends[:, None] - 1 - np.arange(width)
+            inside = np.arange(width) < m[3][:, None]
+            grids.append(np.where(inside, raw[np.where(inside, place, 0)], 0).astype(np.uint8) if len(raw) else np.zeros((n_texts, width), np.uint8))
+            meta.append(np.vstack([m, np.full((1, n_texts), block)]))
+            runs.append(texts)
+        sizes = [m.shape[1] for m in meta]
+        base = np.cumsum([0, *sizes])
+        run, lcp = np.fromiter((x for pair in merge(runs) for x in pair), np.int64, 2 * int(base[-1])).reshape(-1, 2).T
+        # a run's texts come in their order
+        order = np.argsort(run, kind="stable")
+        merged = np.empty(len(run), np.int64)
+        merged[order] = np.arange(len(run))
+        idx, doc, start, head, count, block = np.concatenate(meta, axis=1)[:, merged]
+        grid = np.concatenate(grids)[merged]
         mask, hashed = np.zeros(len(head), U), np.zeros(len(head), U)
         for off in range(width + 1):
             if off:
@@ -218,4 +217,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
     """
     k = max(length * 2 // 5, length - 60)
     more = {"hot": hot} if hot else {}
-    return remove_repeats(docs, symbols, cut_bytes, OUT, length, k, pack_for(length), method_for(length), id_col, text, blocks=blocks, **more)
+    return remove_repeats(docs, symbols, cut_bytes, OUT, length, k, pack_for(length), method_for(length, k), id_col, text, blocks=blocks, **more)
