@@ -1,9 +1,10 @@
 """Rigid transforms as Column expressions: vectors are tuples (x, y, z), quaternions (x, y, z, w), poses (vector, quaternion).
 
-All functions are compositions of arithmetic on Columns, so they stay inside generated code and add no Python worker.
+All functions are compositions of arithmetic on Columns, so they stay inside generated code and add no Python worker. An
+expression names its inputs many times over: what one function gives is made a column with held() before the next takes it.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vector = tuple[Column, Column, Column]
@@ -13,6 +14,13 @@ Pose = tuple[Vector, Quaternion]
 STRAIGHT = 0.9995
 
 
+def held(df: DataFrame, name: str, pose: Pose) -> tuple[DataFrame, Pose]:
+    """df with the pose's seven numbers as columns, and the pose by those names."""
+    names = [f"{name}_{c}" for c in ("x", "y", "z", "qx", "qy", "qz", "qw")]
+    df = df.withColumns(dict(zip(names, [*pose[0], *pose[1]], strict=True)))
+    return df, (tuple(map(F.col, names[:3])), tuple(map(F.col, names[3:])))
+
+
 def dot(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     out = a[0] * b[0]
     for x, y in zip(a[1:], b[1:], strict=True):
