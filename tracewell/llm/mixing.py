@@ -122,7 +122,8 @@ def mix(
     drawn = drawn.join(before.drop("most"), ["source_no", "many"]).withColumn("lo", F.col("lo") + F.coalesce(F.sum("n").over(upto("source_no", "many").orderBy("shard")), F.lit(0)))
     if pieces:
         drawn = drawn.withColumn("from", F.coalesce(F.sum("n").over(upto("shard").orderBy("source_no")), F.lit(0))).withColumn("held", F.sum("n").over(Window.partitionBy("shard")))
-    slots = drawn.join(small(plan.select("source_no", "blocks")), "source_no").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("j", F.col("lo") + F.col("i"))
+    # few rows that become many: spread by number, which adaptive execution leaves as it is
+    slots = drawn.join(small(plan.select("source_no", "blocks")), "source_no").repartition(parts, "source_no", "shard").withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("j", F.col("lo") + F.col("i"))
     slots = slots.withColumn("pass", F.expr("j div blocks")).withColumn("j", F.col("j") % F.col("blocks"))
     slots = permuted(slots, "j", "blocks", [F.lit(seed), F.col("source_no"), F.col("pass")], "block")
     if pieces:

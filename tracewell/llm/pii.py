@@ -151,7 +151,9 @@ def pseudonymized(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_i
     mentions = lambda: F.when(source.rlike(HINT), F.regexp_extract_all(source, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     own = docs.select(F.xxhash64(F.col(id_col), source).alias("__row"), F.explode(F.array_distinct(mentions())).alias("e"))
     found = settled(own.withColumn("kind", kind_of(F.col("e"))).withColumn("entity", canonical(F.col("e"), F.col("kind"))).select("__row", "e", "entity"))
-    entities = settled(found.groupBy("entity").agg(F.min("e").alias("e")).withColumn("attempt", F.lit(0)))
+    # dealt by number: there are far fewer entities than mentions, and adaptive execution would take them for one task's work
+    tasks = max(24, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entities = settled(found.groupBy("entity").agg(F.min("e").alias("e")).withColumn("attempt", F.lit(0)).repartition(tasks, "entity"))
     known = entities.select(F.col("entity").alias("made"))
     state = entities
     for _ in range(ATTEMPTS):
@@ -163,7 +165,7 @@ def pseudonymized(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_i
             break
         marked = clash.withColumn("clashes", F.lit(True)).select("made", "first", "clashes")
         again = state.join(marked, "made", "left")
-        state = again.select("entity", "e", (F.col("attempt") + F.when(F.col("clashes") & (F.col("first").isNull() | (F.col("first") != F.col("entity"))), 1).otherwise(0)).alias("attempt"))
+        state = again.select("entity", "e", (F.col("attempt") + F.when(F.col("clashes") & (F.col("first").isNull() | (F.col("first") != F.col("entity"))), 1).otherwise(0)).alias("attempt")).repartition(tasks, "entity")
     else:
         raise RuntimeError("surrogates still collide")
     retried = settled(state.filter("attempt > 0").select("entity", "attempt"))
