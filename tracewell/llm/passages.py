@@ -28,6 +28,8 @@ U = np.uint64
 #: Spans of one key that a task takes together.
 HOT = 4000
 REPEATED, CONTESTED, SPLIT = 1, 2, 3
+#: Buckets for each block in which spans meet with their symbols, which take more room than the text they are of.
+SPREAD = 2
 MESSAGE = "kind int, bucket long, block long, idx long, doc long, pos long, head int, count int, key long, data binary"
 NAMES = [x.split()[0] for x in MESSAGE.split(", ")]
 TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
@@ -212,10 +214,10 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
         rows = []
         spans = np.sort(got[0][got[1] == CONTESTED].astype(np.int64))
         if len(spans):
-            rows += pack(b, spans, count, block)
+            rows += pack(b, spans, SPREAD * count, block)
         if (got[1] == SPLIT).any():
             w, _, _ = split(b, got)
-            rows += [(3, *r[1:]) for r in pack(w, w.first, count, block)]
+            rows += [(3, *r[1:]) for r in pack(w, w.first, SPREAD * count, block)]
         return messages(rows)
 
     def decide(table: pa.Table) -> pa.Table:
@@ -224,6 +226,7 @@ def remove_repeats(docs: DataFrame, unit, cut, out_schema: str, n: int, k: int,
         for kind in (2, 3):
             if (kinds == kind).any():
                 rows += [(block, kind, data) for block, data in method(table.filter(pa.array(kinds == kind)))]
+        K.release()
         return answers(rows)
 
     fought = dealt.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(contest, MESSAGE)
