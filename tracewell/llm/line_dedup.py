@@ -338,13 +338,20 @@ def dedupe_lines(docs: DataFrame, most: int = MOST, least: int = LEAST, id_col:
         entries, profiles, refs, places = [], [], [], []
         for block, data in zip(table["block"].to_pylist(), table["data"].to_pylist(), strict=True):
             e = np.frombuffer(data, U, len(data) // 20)
-            counts = np.frombuffer(data, np.uint8, len(e) * 8, len(e) * 8).reshape(-1, 8)
             entries.append(e)
-            profiles.append(np.stack([counts >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(-1, CLASSES))
+            profiles.append(np.frombuffer(data, np.uint8, len(e) * 8, len(e) * 8).reshape(-1, 8))
             places.append(np.frombuffer(data, "<f4", len(e), len(e) * 16))
             refs.append((np.int64(block) << np.int64(IDX_BITS)) | ((e & U(low)) >> U(1)).astype(np.int64))
         e = np.concatenate(entries)
-        got, short = candidates(e >> U(IDX_BITS), np.concatenate(refs), (e & U(1)).astype(bool), np.concatenate(profiles), most, np.concatenate(places), few, only)
+        # nearly all keys are met by nothing: only those that two entries have are looked at
+        key = e >> U(IDX_BITS)
+        order = np.argsort(key, kind="stable")
+        equal = key[order[1:]] == key[order[:-1]]
+        keep = np.zeros(len(e), bool)
+        keep[order[1:][equal]] = keep[order[:-1][equal]] = True
+        counts = np.concatenate(profiles)[keep]
+        profile = np.stack([counts >> shift & 3 for shift in (0, 2, 4, 6)], axis=2).reshape(-1, CLASSES)
+        got, short = candidates(key[keep], np.concatenate(refs)[keep], (e[keep] & U(1)).astype(bool), profile, most, np.concatenate(places)[keep], few, only)
         got = np.unique(np.sort(got, axis=0), axis=1)
         cut = np.zeros(got.shape[1] + len(short), np.int64)
         cut[got.shape[1] :] = 1
