@@ -75,7 +75,7 @@ def test_text(spark):
     assert one(text.accepted(F.lit("something else"))) is None
     assert one(text.console(F.lit("Traceback (most recent call last):"))) is None
     assert one(text.hex_address(F.lit("0100007F:1F90"))) == "127.0.0.1:8080"
-    assert one(text.channel(F.lit("/dimos/a/b/m.Type"))) == "a/b"
+    assert one(text.channel(F.lit("/fleet/a/b/m.Type"))) == "a/b"
     assert one(text.link_event(F.lit("RTW: DISASSOC then deauth"))) == "disconnect"
 
 

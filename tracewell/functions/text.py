@@ -78,9 +78,9 @@ def link_event(line: Column) -> Column:
     return out
 
 
-def channel(name: Column) -> Column:
+def channel(name: Column, namespace: str = "fleet") -> Column:
     """A channel without leading slash, namespace and type: #type, or a last part with a dot."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "^/", ""), "^dimos/", ""), "#.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "^/", ""), f"^{namespace}/", ""), "#.*$", "")
     return F.regexp_replace(bare, r"/[^/]*\.[^/]*$", "")
 
 

@@ -137,7 +137,7 @@ def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, [event_type, 'a/' || event_type, 'robot/' || event_type, event_type][1 + event_id % 4] AS channel FROM events")
 def channel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = [F.concat(F.lit("/"), "event_type"), F.concat(F.lit("/dimos/a/"), "event_type", F.lit("#sensor.Image")), F.concat(F.lit("dimos/robot/"), "event_type", F.lit("/module.Type")), F.col("event_type")]
+    shapes = [F.concat(F.lit("/"), "event_type"), F.concat(F.lit("/fleet/a/"), "event_type", F.lit("#sensor.Image")), F.concat(F.lit("fleet/robot/"), "event_type", F.lit("/module.Type")), F.col("event_type")]
     return table(spark, sf_dir, "events").select("event_id", text.channel(F.element_at(F.array(*shapes), (F.col("event_id") % 4 + 1).cast("int"))).alias("channel"))
 
 
@@ -207,7 +207,7 @@ def progress_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, ['12.5,-3,1e3', '2026,7', '', '.5,4'][1 + event_id % 4] AS found FROM events")
 def number_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities but no parts of words or versions, and of a date the year alone."""
-    shapes = ["at 12.5 m, down -3 to 1e3", "v1.2.3 of dimos6 on 2026-09-18: 7", "utf8 #ff0 10.0.0.1", "x=.5;(4)"]
+    shapes = ["at 12.5 m, down -3 to 1e3", "v1.2.3 of fleet6 on 2026-09-18: 7", "utf8 #ff0 10.0.0.1", "x=.5;(4)"]
     line = F.element_at(F.array(*[F.lit(x) for x in shapes]), (F.col("event_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(text.numbers(line), ",").alias("found"))
 
