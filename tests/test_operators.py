@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.functions import pose, text
+from tracewell.functions import text
 from tracewell.operators import asof, graph, mutations
 from tracewell.streaming import live
 from tracewell.streaming.drain import drained
@@ -52,23 +52,6 @@ def test_asof_of_one_large_key_is_linear(spark):
     assert out.filter("before.v = id AND (after.v = id + 1 OR id = 199999)").count() == n
 
 
-def test_pose_identities(spark):
-    r = random.Random(1)
-    rows = [tuple(r.uniform(-1, 1) for _ in range(14)) for _ in range(50)]
-    d = spark.createDataFrame(rows, [f"c{i}" for i in range(14)])
-    part = lambda a, n: tuple(F.col(f"c{a + i}") for i in range(n))
-    d, a = pose.held(d, "a", (part(0, 3), pose.unit(part(3, 4))))
-    d, b = pose.held(d, "b", (part(7, 3), pose.unit(part(10, 4))))
-    d, both = pose.held(d, "both", pose.compose(a, b))
-    d, back = pose.held(d, "back", pose.invert(b))
-    d, (t, q) = pose.held(d, "again", pose.compose(both, back))
-    d, (_, turned) = pose.held(d, "turned", (t, pose.from_rpy(*pose.to_rpy(a[1]))))
-    apart = lambda p, r: 1 - F.abs(pose.dot(p, r))  # noqa: E731  a rotation and its negative are one
-    gap = sum((F.abs(x - y) for x, y in zip(t, a[0])), F.lit(0.0))
-    d = d.select(gap.alias("gap"), apart(q, a[1]).alias("turn"), apart(pose.slerp(a[1], b[1], F.lit(1.0)), b[1]).alias("end"), apart(pose.slerp(a[1], b[1], F.lit(0.0)), a[1]).alias("start"), apart(turned, a[1]).alias("rpy"))
-    assert d.filter("gap > 1e-9 OR abs(turn) > 1e-9 OR abs(end) > 1e-9 OR abs(start) > 1e-9 OR abs(rpy) > 1e-9").count() == 0
-
-
 def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(text.numbers(F.lit("a -1.5e3, .5 and v1.2.3, utf8; 7"))) == ["-1.5e3", ".5", "7"]
