@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton_dedup, byte_bpe, cap_filters, fill_middle, jaccard_join, line_dedup, mixing, page_text, pieces, pii, repetition, suffix_dedup
+from . import automaton_dedup, byte_bpe, cap_filters, fill_middle, hard_negatives, jaccard_join, line_dedup, mixing, page_text, pieces, pii, repetition, suffix_dedup
 
 
 def model_path() -> str:
@@ -75,6 +75,11 @@ def op10_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.hard_negatives(rows.withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)")))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), ranks_path())
     return out.select(
@@ -102,10 +107,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_repetition": op9_repetition,
     "op10_automaton_dedup": op10_automaton_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_fill_middle": op13_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_dot_product(a.q, v.q)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS i FROM s WHERE same) WHERE i <= 5),
+        n AS (SELECT p.*, vec_id, score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS i
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, i::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM n WHERE i <= 10""",
     "op13_fill_middle": """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
         u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, [('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT FOR i IN range(4)] AS h FROM h),
         c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
