@@ -68,6 +68,17 @@ def test_article_parts_with_ordinary_words_and_unclosed_elements(spark):
     assert all(r.text == story(i) for i, r in run(spark, rows).items())
 
 
+def test_class_words_above_an_article_do_not_lose_it(spark):
+    wrap = ["<body class='no-sidebar'>{}</body>", "<html class='ads menu'><body>{}</body></html>", "<body><div class='search-results'>{}</div></body>", "<body><div class='modal-open'><div id='banner'>{}</div></div></body>"]
+    rows = [(i, f"http://a{i}.example/", w.format("<nav>n</nav><article><h1>Head</h1><p>Text of it</p><div class='ad'>Buy</div></article>")) for i, w in enumerate(wrap)]
+    rows.append((10, "http://b.example/", "<body><div class='related'><article><p>Another story</p></article></div><article><p>This story</p></article></body>"))
+    rows.append((11, "http://c.example/", "<body><p>Text</p><div class='comments'><article><p>reader</p></article></div></body>"))
+    rows.append((12, "http://d.example/", "<body class='sidebar'><main><p>Text of main</p><div class='sidebar'>side</div></main></body>"))
+    rows.append((13, "http://e.example/", "<body><aside><article><p>Aside</p></article></aside><div class='promo'>Buy</div><p>Plain</p></body>"))
+    got = {i: r.text for i, r in run(spark, rows).items()}
+    assert got == {**dict.fromkeys(range(4), "Head\n\nText of it"), 10: "This story", 11: "Text", 12: "Text of main", 13: "Plain"}
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="tables are not here")
 def test_whole_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

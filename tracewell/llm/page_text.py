@@ -51,10 +51,15 @@ NOT_MAIN = set(
 ORDINARY = set("search social related recommended respond alert notice notices notification promo promotion replies comment banner overlay widget menu".split())
 #: Ids of readers' comments; inside an article no other id tells.
 COMMENT_IDS = {"comments", "commentlist", "disqus_thread", "respond"}
+#: Words that no article below makes good: its readers' comments are articles too.
+COMMENTS = set("comment comments commentlist disqus respond replies".split())
 #: Elements whose ids name what they are about.
 NAMED_BY_TOPIC = set("h1 h2 h3 h4 h5 h6 p section li dt dd td th a span".split())
 #: Elements whose text is not shown as text, or is a control's.
 HIDDEN = set("template svg select button object canvas".split())
+#: Elements that hold the whole page, whatever their classes say of it.
+WHOLE = {"html", "body"}
+WEAK = "weak"
 MOST_PAGES, LEAST_PAGES, MAIN_SHARE = 0.5, 3, 0.6
 #: Least share of an article's characters that its slots hold, where a host's template is of few pages and where of MANY_PAGES.
 FEW_SHARE, MANY_SHARE, MANY_PAGES = 0.5, 0.2, 8
@@ -73,6 +78,8 @@ class Page:
         self.doubtful: set[int] = set()
         self.has_article = False
         stack: list[tuple[str, int, bool, bool]] = []  # element, path hash, article above, not main above
+        #: Texts in an article below a region that only a class word tells from the main one; they count if no other article does.
+        weak: set[int] = set()
         block = 0
         for m in TOKEN.finditer(source):
             raw, name = m.group(0), m.group(3)
@@ -81,7 +88,9 @@ class Page:
             if name is None:
                 text = html.unescape(raw)
                 path, article, off = stack[-1][1:] if stack else (0, False, False)
-                self.texts.append((path, block, article, off, text, tuple(s[1] for s in stack)))
+                if off == WEAK and article:
+                    weak.add(len(self.texts))
+                self.texts.append((path, block, article, bool(off), text, tuple(s[1] for s in stack)))
                 continue
             name = name.lower()
             if m.group(2):
@@ -94,7 +103,9 @@ class Page:
                 continue
             if name == "br":
                 path, article, off = stack[-1][1:] if stack else (0, False, False)
-                self.texts.append((path, block, article, off, " ", ()))
+                if off == WEAK and article:
+                    weak.add(len(self.texts))
+                self.texts.append((path, block, article, bool(off), " ", ()))
                 continue
             if name in HIDDEN:
                 if name == "svg" and m.group(4).endswith("/"):
@@ -118,18 +129,25 @@ class Page:
             ids = attributes.get("id", "")
             if not article and name not in NAMED_BY_TOPIC:
                 named |= set(WORDS.split(ids))
+            if name in WHOLE:
+                named = set()
             told = named & NOT_MAIN - ORDINARY if article else named & NOT_MAIN
-            off = off or name in ASIDE or name in HIDDEN or bool(told) or ids in COMMENT_IDS or (not article and (name == "header" or "header" in named))
-            if name in ("article", "main") and not off:
-                self.has_article |= name == "article"
+            if name in ASIDE or name in HIDDEN or ids in COMMENT_IDS or told & COMMENTS or (article and told) or (not article and name == "header"):
+                off = True
+            elif not off and (told or (not article and "header" in named)):
+                off = WEAK
+            if name in ("article", "main") and off is not True:
+                self.has_article |= name == "article" and not off
                 article = article or name
             if name not in INLINE:
-                path = hash_of(f"{path} {name} {attributes.get('class', '')}")
+                path = path_hash(f"{path} {name} {attributes.get('class', '')}")
                 self.tags.append(path)
                 if article and named & ORDINARY:
                     self.doubtful.add(path)
             stack.append((name, path, article, off))
-        self.has_main = any(t[2] for t in self.texts) or self.has_article
+        if weak and not any(t[2] and not t[3] and t[4].strip() for t in self.texts):
+            self.texts = [(*t[:3], t[3] and i not in weak, *t[4:]) for i, t in enumerate(self.texts)]
+        self.has_main = any(t[2] and not t[3] for t in self.texts) or self.has_article
 
     def kept(self) -> list[tuple]:
         """The text nodes that are not of another region: the article's, where there is one."""
@@ -189,23 +207,22 @@ def hash_of(text: str) -> int:
 
 
 _paths: dict[str, int] = {}
-_slow_hash = hash_of
 
 
-def hash_of(text: str) -> int:  # noqa: F811
+def path_hash(text: str) -> int:
     """The same, remembered for paths, which recur."""
     if len(text) > 200:
-        return _slow_hash(text)
+        return hash_of(text)
     known = _paths.get(text)
     if known is None:
         if len(_paths) > 50_000:
             _paths.clear()
-        known = _paths[text] = _slow_hash(text)
+        known = _paths[text] = hash_of(text)
     return known
 
 
 def text_token(path: int, text: str) -> int:
-    return _slow_hash(f"{path} {' '.join(text.split())}")
+    return hash_of(f"{path} {' '.join(text.split())}")
 
 
 STATS = "host string, kind int, token long, vector long, support long, total long, chars long, seen long, also long"
@@ -235,7 +252,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
                 content = page.content()
                 seen_bit, also_bit = 1 << (content & 63), 1 << (content >> 6 & 63)
                 # the page stands for itself in the vector by its id and content
-                own = hash_of(f"{part.column('page_id')[i].as_py()} {len(text or '')}")
+                own = path_hash(f"{part.column('page_id')[i].as_py()} {len(text or '')}")
                 for kind, counter in ((0, tags), (1, texts)):
                     for token, n in counter.items():
                         row = seen.setdefault((name, kind, token), [0, 0, 0, 0, 0, 0])
