@@ -31,15 +31,3 @@ def test_equals_sql(spark, duck, name):
     assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(pd.DataFrame(got.to_pylist(), columns=got.column_names)) == rows(pd.DataFrame(want.to_pylist(), columns=want.column_names))
     assert got.num_rows or name == "topic_fighting"
-
-
-def test_throttle_keeps_its_distance(spark):
-    got = catalog.QUERIES["throttle_greedy"](spark, DATA).toPandas()
-    every = catalog.QUERIES["merge_time_ordered"](spark, DATA).toPandas()
-    for s in ("view", "click"):
-        times, last, kept = sorted(every[every.stream == s].ts_us), None, []
-        for t in times:
-            if last is None or t - last >= 3_600_000_000:
-                kept.append(t)
-                last = t
-        assert sorted(got[got.stream == s].ts_us) == kept

@@ -1,11 +1,11 @@
 """Profiles of streams: counts, rates, gaps, windows of time, sampling, cutting. Times are whole microseconds."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import at_ranks, nearest_rank, placed
+from .settle import settled
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone is."""
@@ -21,13 +21,17 @@ def summary(rows: DataFrame, stream: str, ts: str) -> DataFrame:
 
 def with_gap(rows: DataFrame, stream: str, ts: str, *ties: str) -> DataFrame:
     """rows with gap_us to the row before in the stream; null for its first."""
-    return rows.withColumn("gap_us", F.col(ts) - F.lag(ts).over(Window.partitionBy(stream).orderBy(ts, *ties)))
+    out = placed(rows, [stream], [ts, *ties], before={"__before": ts})
+    return out.withColumn("gap_us", F.col(ts) - F.col("__before")).drop("__before")
 
 
 def gaps(rows: DataFrame, stream: str, ts: str) -> DataFrame:
-    """Per stream: the largest gap, the 99th percentile by nearest rank and the mean, all null with fewer than two rows."""
-    g = with_gap(rows, stream, ts).filter("gap_us IS NOT NULL").groupBy(stream)
-    return g.agg(F.max("gap_us").alias("max_gap_us"), F.expr("CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY gap_us) AS BIGINT)").alias("p99_gap_us"), (F.sum("gap_us") / F.count("*")).alias("mean_gap_us"))
+    """Per stream with two rows: the largest gap, the 99th percentile by nearest rank, the mean, and the ratios of the first two to the mean (null if it is 0)."""
+    between = settled(with_gap(rows.select(stream, ts), stream, ts).filter("gap_us IS NOT NULL"))
+    whole = between.groupBy(stream).agg(F.max("gap_us").alias("max_gap_us"), (F.sum("gap_us") / F.count("*")).alias("mean_gap_us"))
+    out = whole.join(at_ranks(between, [stream], "gap_us", {"p99_gap_us": nearest_rank(0.99)}), stream)
+    mean = F.nullif("mean_gap_us", F.lit(0.0))
+    return out.withColumn("max_ratio", F.col("max_gap_us") / mean).withColumn("p99_ratio", F.col("p99_gap_us") / mean)
 
 
 def first_seconds(rows: DataFrame, stream: str, ts: str, seconds: float, exempt: Column | None = None) -> DataFrame:
@@ -39,8 +43,7 @@ def first_seconds(rows: DataFrame, stream: str, ts: str, seconds: float, exempt:
 
 def every_nth(rows: DataFrame, stream: str, order: list[str], n: int) -> DataFrame:
     """Every n-th row of each stream, its first included."""
-    w = Window.partitionBy(stream).orderBy(*order)
-    return rows.withColumn("__i", F.row_number().over(w) - 1).filter(F.col("__i") % n == 0).drop("__i")
+    return placed(rows, [stream], order, rank="__i").filter(F.col("__i") % n == 0).drop("__i")
 
 
 def first_rows(rows: DataFrame, stream: str, order: list, n: int) -> DataFrame:
@@ -48,27 +51,6 @@ def first_rows(rows: DataFrame, stream: str, order: list, n: int) -> DataFrame:
     return rows.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= n).drop("__i")
 
 
-def throttle(rows: DataFrame, stream: str, ts: str, least_us: int, ties: list[str]) -> DataFrame:
-    """Greedy thinning: a row stays if it is at least least_us after the last row of its stream that stayed.
-
-    The fold is sequential in a stream, but holds one number for it: rows arrive sorted, batch after batch.
-    """
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, last = None, None
-        for part in parts:
-            keep = []
-            for s, t in zip(part[stream], part[ts], strict=True):
-                if s != current:
-                    current, last = s, None
-                keep.append(last is None or t - last >= least_us)
-                if keep[-1]:
-                    last = t
-            yield part[keep]
-
-    return rows.repartition(stream).sortWithinPartitions(stream, ts, *ties).mapInPandas(fold, rows.schema)
-
-
 def cut(rows: DataFrame, ts: str, at_us: int) -> tuple[DataFrame, DataFrame]:
     """Head and tail: no row is in both and none is lost."""
     return rows.filter(F.col(ts) < at_us), rows.filter(F.col(ts) >= at_us)

@@ -106,6 +106,18 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Column
     return done.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, found)).alias(name) for name in ranks])
 
 
+def linear_percentile(rows: DataFrame, by: list[str], value: str, p: float, name: str) -> DataFrame:
+    """Per stream the percentile that lies between its two nearest ranks, in proportion."""
+    at = F.lit(p) * (F.col("n") - 1)
+    n = rows.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.count("*").alias("n"))
+    near = at_ranks(rows, by, value, {"__lo": F.floor(at), "__hi": F.ceil(at)})
+    met = F.lit(True)
+    for k in by:
+        met = met & F.col(k).eqNullSafe(F.col(f"__n_{k}"))
+    out = near.join(n.select(*[F.col(k).alias(f"__n_{k}") for k in by], "n"), met)
+    return out.select(*by, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (at - F.floor(at))).alias(name))
+
+
 def nearest_rank(p: float) -> Column:
     """The nearest-rank percentile's place."""
     return F.ceil(F.lit(p) * F.col("n")) - 1

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import profile, ranges, thinning, throttle
+from ..operators.settle import settled
 from .registry import query, table
 
 E = "(SELECT event_id, event_type AS stream, user_id, value, epoch_us(ts) AS ts_us FROM events)"
@@ -24,7 +25,10 @@ def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.summary(events(spark, sf_dir), "stream", "ts_us")
 
 
-@query(f"SELECT stream, max(gap_us) AS max_gap_us, max(gap_us) FILTER (i = ceil(0.99 * n)) AS p99_gap_us, sum(gap_us) / count(*) AS mean_gap_us FROM {GAP_RANKS} GROUP BY stream")
+@query(
+    f"""SELECT *, max_gap_us / nullif(mean_gap_us, 0) AS max_ratio, p99_gap_us / nullif(mean_gap_us, 0) AS p99_ratio
+    FROM (SELECT stream, max(gap_us) AS max_gap_us, max(gap_us) FILTER (i = ceil(0.99 * n)) AS p99_gap_us, sum(gap_us) / count(*) AS mean_gap_us FROM {GAP_RANKS} GROUP BY stream)"""
+)
 def stream_gaps_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.gaps(events(spark, sf_dir), "stream", "ts_us")
 
@@ -49,9 +53,54 @@ def stream_limit_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.first_rows(events(spark, sf_dir), "user_id", ["ts_us", "event_id"], 5).select("event_id", "user_id")
 
 
-@query()
+def emitted(every: int) -> str:
+    """A recursive query for (stream, ts_us): the stamps of a stream's first row and of each first one `every` after the last of these."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED {E}, k AS (SELECT stream, min(ts_us) AS ts_us FROM e GROUP BY stream
+        UNION ALL SELECT e.stream, min(e.ts_us) FROM k JOIN e ON e.stream = k.stream AND e.ts_us >= k.ts_us + {every} GROUP BY e.stream)"""
+
+
+@query(f"{emitted(3_600_000_000)} SELECT min(event_id) AS event_id, stream, ts_us FROM e JOIN k USING (stream, ts_us) GROUP BY stream, ts_us")
 def throttle_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.throttle(events(spark, sf_dir), "stream", "ts_us", 3_600_000_000, ["event_id"]).select("event_id", "stream", "ts_us")
+    return throttle.throttled(events(spark, sf_dir), "stream", "ts_us", 3_600_000_000, ["event_id"]).select("event_id", "stream", "ts_us")
+
+
+@query(f"{emitted(5_400_000_000)}, f AS (SELECT min(event_id) AS event_id FROM e JOIN k USING (stream, ts_us) GROUP BY stream, ts_us) SELECT event_id, event_id IN (SELECT event_id FROM f) AS emits FROM e")
+def republish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a static edge rides along: with a stream's first message, and the first one 90 minutes after it last did."""
+    return throttle.republished(events(spark, sf_dir), "stream", "ts_us", 5_400_000_000, ["event_id"]).select("event_id", "emits")
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT stream, list({{'w': value, 't': ts_us, 'id': event_id}} ORDER BY value DESC, ts_us, event_id) AS l FROM {E} GROUP BY stream),
+    p AS (SELECT stream, 1 AS i, [l[1]] AS kept FROM e UNION ALL
+        SELECT stream, i + 1, CASE WHEN len(list_filter(kept, lambda k: abs(k.t - l[i + 1].t) <= 3600000000)) = 0 THEN list_append(kept, l[i + 1]) ELSE kept END FROM p JOIN e USING (stream) WHERE i < len(l))
+    SELECT stream, unnest(list_transform(kept, lambda k: k.id)) AS event_id FROM (SELECT stream, arg_max(kept, i) AS kept FROM p GROUP BY stream)"""
+)
+def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by value, each more than an hour from all of its stream that were picked before it."""
+    return thinning.suppressed(events(spark, sf_dir), "stream", "ts_us", "value", ["event_id"], 3_600_000_000)[0].select("stream", "event_id")
+
+
+BUDGET = 5000
+STATES = f"(SELECT stream, list({{'v': value, 'n': 12 + 6 * (event_id % 7), 'loose': 0::BIGINT, 'ids': [event_id]}} ORDER BY ts_us, event_id) AS l FROM {E} GROUP BY stream)"
+#: A fold over l with the limit m: the size of what it keeps but for its last row, what that adds, and the ids.
+FOLD = "list_reduce(l, lambda a, x: CASE WHEN abs(x.v - a.v) > m THEN {'v': x.v, 'n': a.n + x.n, 'loose': 0::BIGINT, 'ids': a.ids || x.ids} ELSE {'v': a.v, 'n': a.n, 'loose': x.n, 'ids': a.ids} END)"
+
+
+@query(
+    f"""WITH RECURSIVE s AS MATERIALIZED {STATES}, whole AS (SELECT *, list_sum(list_transform(l, lambda x: x.n)) > {BUDGET} AS large FROM s),
+    b AS (SELECT stream, 0 AS i, 0::DOUBLE AS low, 10000::DOUBLE AS high FROM whole WHERE large UNION ALL
+        SELECT stream, i + 1, CASE WHEN r.n + r.loose > {BUDGET} THEN m ELSE low END, CASE WHEN r.n + r.loose > {BUDGET} THEN high ELSE m END
+        FROM (SELECT *, {FOLD} AS r FROM (SELECT stream, i, low, high, (low + high) / 2 AS m, l FROM b JOIN s USING (stream) WHERE i < 30))),
+    f AS (SELECT stream, m, list_distinct({FOLD}.ids || l[-1].ids) AS ids FROM (SELECT stream, high AS m, l FROM b JOIN s USING (stream) WHERE i = 30)
+        UNION ALL SELECT stream, 0, list_transform(l, lambda x: x.ids[1]) FROM whole WHERE NOT large)
+    SELECT stream, unnest(ids) AS event_id, round(m, 5) AS limit_m FROM f"""
+)
+def thinned_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States kept so that a stream's value is never further from the last one kept than the least limit that fits 5,000 bytes."""
+    states = events(spark, sf_dir).withColumn("size", F.expr("12 + 6 * (event_id % 7)"))
+    out = thinning.thinned(states, "stream", ["ts_us", "event_id"], ["value"], "size", BUDGET)
+    return out.select("stream", "event_id", F.round("limit", 5).alias("limit_m"))
 
 
 @query(f"SELECT stream, arg_max(event_id, (ts_us, event_id)) AS last_id, max(ts_us) AS last_us, arg_min(event_id, (ts_us, event_id)) AS first_id, min(ts_us) AS first_us FROM {E} GROUP BY stream")
@@ -96,32 +145,26 @@ def carry_over_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT stream, max(gap_us) FILTER (i = ceil(0.5 * n)) AS p50, max(gap_us) FILTER (i = ceil(0.99 * n)) AS p99 FROM {GAP_RANKS} GROUP BY stream")
 def pctl_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = profile.with_gap(events(spark, sf_dir), "stream", "ts_us", "event_id").filter("gap_us IS NOT NULL").groupBy("stream")
-    return g.agg(*[F.expr(f"CAST(percentile_disc({p}) WITHIN GROUP (ORDER BY gap_us) AS BIGINT)").alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"))])
+    g = profile.with_gap(events(spark, sf_dir).select("event_id", "stream", "ts_us"), "stream", "ts_us", "event_id")
+    return ranges.at_ranks(settled(g.select("stream", "gap_us")), ["stream"], "gap_us", {"p50": ranges.nearest_rank(0.5), "p99": ranges.nearest_rank(0.99)})
 
 
 RANKED = f"(SELECT stream, value, row_number() OVER (PARTITION BY stream ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY stream) AS n FROM {E})"
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("stream")
-    return events(spark, sf_dir).select("stream", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-
-
 @query(f"SELECT stream, max(value) FILTER (i = least(n - 1, floor(0.5 * n))) AS p50, max(value) FILTER (i = least(n - 1, floor(0.95 * n))) AS p95 FROM {RANKED} GROUP BY stream")
 def pctl_floor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("value")))
-    return ranked(spark, sf_dir).groupBy("stream").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return ranges.at_ranks(events(spark, sf_dir), ["stream"], "value", {"p50": ranges.floor_rank(0.5), "p95": ranges.floor_rank(0.95)})
 
 
 @query(f"SELECT stream, max(value) FILTER (i = n // 2) AS median FROM {RANKED} GROUP BY stream")
 def median_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir).groupBy("stream").agg(F.max(F.when(F.expr("i = n div 2"), F.col("value"))).alias("median"))
+    return ranges.at_ranks(events(spark, sf_dir), ["stream"], "value", {"median": F.expr("n div 2")})
 
 
 @query(f"SELECT stream, round(quantile_cont(value, 0.05), 6) AS p05 FROM {E} GROUP BY stream")
 def pctl_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("stream").agg(F.round(F.percentile("value", F.lit(0.05)), 6).alias("p05"))
+    return ranges.linear_percentile(events(spark, sf_dir), ["stream"], "value", 0.05, "p05").withColumn("p05", F.round("p05", 6))
 
 
 @query(f"SELECT stream, ts_us // 60000000 AS minute, count(*) AS n FROM {E} GROUP BY 1, 2")
@@ -149,9 +192,8 @@ def window_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, (row_number() OVER w - 1) / nullif(count(*) OVER (PARTITION BY stream) - 1, 0) AS share, lead(event_id) OVER w AS next_id FROM {E} WINDOW w AS (PARTITION BY stream ORDER BY ts_us, event_id)")
 def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("stream").orderBy("ts_us", "event_id")
-    n = F.count("*").over(Window.partitionBy("stream"))
-    return events(spark, sf_dir).select("event_id", ((F.row_number().over(w) - 1) / F.nullif(n - 1, F.lit(0))).alias("share"), F.lead("event_id").over(w).alias("next_id"))
+    e = ranges.placed(events(spark, sf_dir).select("event_id", "stream", "ts_us"), ["stream"], ["ts_us", "event_id"], rank="i", total="n", after={"next_id": "event_id"})
+    return e.select("event_id", (F.col("i") / F.nullif(F.col("n") - 1, F.lit(0))).alias("share"), "next_id")
 
 
 @query(f"SELECT event_id, lead(value) OVER w - lag(value) OVER w AS dv, lead(ts_us) OVER w - lag(ts_us) OVER w AS dt_us FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id)")

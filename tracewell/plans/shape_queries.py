@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof
+from ..operators import asof, profile, ranges
+from ..operators.settle import settled
 from .profile_queries import E, events
 from .registry import query, table
 from .spatial_queries import P, points
@@ -255,14 +256,12 @@ def prefix_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("start", F.sum("n").over(Window.partitionBy("user_id").orderBy("stream")) - F.col("n"))
 
 
-@query(f"SELECT stream, round(1e6 / gap / 7, 8) AS fps FROM (SELECT stream, gap_us AS gap FROM (SELECT stream, gap_us, row_number() OVER (PARTITION BY stream ORDER BY gap_us) - 1 AS i, count(*) OVER (PARTITION BY stream) AS n FROM (SELECT user_id % 3 || stream AS stream, ts_us - lag(ts_us) OVER (PARTITION BY user_id % 3, stream ORDER BY ts_us, event_id) AS gap_us FROM {E}) WHERE gap_us IS NOT NULL) WHERE i = n // 2)")
+@query(f"SELECT stream, round(round(1e10 / gap, 1) / 7, 8) AS fps FROM (SELECT stream, gap_us AS gap FROM (SELECT stream, gap_us, row_number() OVER (PARTITION BY stream ORDER BY gap_us) - 1 AS i, count(*) OVER (PARTITION BY stream) AS n FROM (SELECT user_id % 3 || stream AS stream, ts_us - lag(ts_us) OVER (PARTITION BY user_id % 3, stream ORDER BY ts_us, event_id) AS gap_us FROM {E}) WHERE gap_us IS NOT NULL) WHERE i = n // 2)")
 def median_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames a second from the upper median gap, over a stride of seven."""
+    """Frames in 10,000 seconds from the upper median gap, to one digit, over a stride of seven."""
     e = events(spark, sf_dir).withColumn("stream", F.concat((F.col("user_id") % 3).cast("string"), "stream"))
-    g = e.withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("stream").orderBy("ts_us", "event_id"))).filter("gap IS NOT NULL")
-    w = Window.partitionBy("stream")
-    mid = g.withColumn("i", F.row_number().over(w.orderBy("gap")) - 1).withColumn("n", F.count("*").over(w)).filter("i = n div 2")
-    return mid.select("stream", F.round(1e6 / F.col("gap") / 7, 8).alias("fps"))
+    gaps = settled(profile.with_gap(e.select("event_id", "stream", "ts_us"), "stream", "ts_us", "event_id").select("stream", "gap_us"))
+    return ranges.at_ranks(gaps, ["stream"], "gap_us", {"gap": F.expr("n div 2")}).select("stream", F.round(F.round(1e10 / F.col("gap"), 1) / 7, 8).alias("fps"))
 
 
 @query("SELECT source, sum(octet_length(encode(text)))::BIGINT AS bytes, max(octet_length(encode(text)))::BIGINT AS most, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source")
