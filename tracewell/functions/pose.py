@@ -97,6 +97,21 @@ def slerp(q: Quaternion, r: Quaternion, t: Column) -> Quaternion:
     return tuple(F.when(cosine > STRAIGHT, x).otherwise(y) for x, y in zip(line, arc, strict=True))
 
 
+def held_slerp(df: DataFrame, name: str, q: Quaternion, r: Quaternion, t: Column) -> tuple[DataFrame, Quaternion]:
+    """The same with what it takes again and again kept as columns, so that a plan holds each once."""
+    df = df.withColumns({f"{name}_{x}{i}": c for x, v in (("q", q), ("r", r)) for i, c in enumerate(v)} | {f"{name}_t": t})
+    q, r, t = (*(tuple(F.col(f"{name}_{x}{i}") for i in range(4)) for x in "qr"), F.col(f"{name}_t"))
+    df = df.withColumn(f"{name}_c", dot(q, r))
+    c = F.col(f"{name}_c")
+    df = df.withColumns({f"{name}_sign": F.when(c < 0, -1.0).otherwise(1.0), f"{name}_a": F.acos(F.least(F.abs(c), F.lit(1.0)))})
+    a, sign, straight = F.col(f"{name}_a"), F.col(f"{name}_sign"), F.abs(c) > STRAIGHT
+    df = df.withColumns({f"{name}_u": F.when(straight, 1 - t).otherwise(F.sin((1 - t) * a) / F.sin(a)), f"{name}_v": sign * F.when(straight, t).otherwise(F.sin(t * a) / F.sin(a))})
+    df = df.withColumns(dict(zip(names := [f"{name}_m{i}" for i in range(4)], plus(times(F.col(f"{name}_u"), q), times(F.col(f"{name}_v"), r)), strict=True)))
+    mixed = tuple(map(F.col, names))
+    df = df.withColumn(f"{name}_n", F.when(straight, F.sqrt(dot(mixed, mixed))).otherwise(F.lit(1.0)))
+    return df, tuple(x / F.col(f"{name}_n") for x in mixed)
+
+
 def from_rpy(roll: Column, pitch: Column, heading: Column) -> Quaternion:
     """Turned about x, then y, then z."""
     half = lambda a, axis: tuple(F.sin(a / 2) if i == axis else F.cos(a / 2) if i == 3 else F.lit(0.0) for i in range(4))

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pose
-from ..operators import asof
-from .profile_queries import E, events
+from ..operators import asof, chains
+from ..operators.profile import micros
 from .registry import query, table
 
 UNIT = "list_transform({q}, lambda x: x / sqrt(list_sum(list_transform({q}, lambda y: y * y))))"
@@ -120,8 +120,8 @@ POSES = f"(SELECT event_id, event_type AS stream, user_id, epoch_us(ts) AS ts_us
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 100).alias("x"), (F.get_json_object("props", "$.k").cast("double") / 16).alias("h"))
-    return events(spark, sf_dir).drop("value").join(e, "event_id")
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.col("event_type").alias("stream"), "user_id", micros("ts").alias("ts_us"), (F.col("value") / 100).alias("x"), (F.get_json_object("props", "$.k").cast("double") / 16).alias("h"))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,19 +138,20 @@ f AS (SELECT *, CASE WHEN bt IS NULL OR nt IS NULL OR bt = nt THEN 0.0 ELSE (ts_
 TURN = "atan2(sin(h1 - h0), cos(h1 - h0))"
 
 
-def interpolated(d: DataFrame) -> tuple[Column, tuple]:
-    """x and the rotation between the neighbours; the nearest end's beyond the span."""
+def interpolated(d: DataFrame) -> tuple[DataFrame, Column]:
+    """d with the neighbours as structs b and a and the share s of the way between them, and x there; the nearest end's beyond the span."""
     b, a = F.coalesce("before", "after"), F.coalesce("after", "before")
-    share = F.when(F.col("before").isNull() | F.col("after").isNull() | (a["ts"] == b["ts"]), F.lit(0.0)).otherwise((F.col("ts_us") - b["ts"]) / (a["ts"] - b["ts"]))
-    turn = lambda s: pose.from_rpy(F.lit(0.0), F.lit(0.0), s["h"])
-    return b["x"] + share * (a["x"] - b["x"]), pose.slerp(turn(b), turn(a), share)
+    d = d.withColumns({"b": b, "a": a})
+    share = F.when(F.col("before").isNull() | F.col("after").isNull() | (F.col("a.ts") == F.col("b.ts")), F.lit(0.0)).otherwise((F.col("ts_us") - F.col("b.ts")) / (F.col("a.ts") - F.col("b.ts")))
+    return d.withColumn("s", share), F.col("b.x") + F.col("s") * (F.col("a.x") - F.col("b.x"))
 
 
 @query(f"WITH {PROBED} SELECT event_id, round(x0 + t * (x1 - x0), 5) + 0.0 AS x, round(abs(sin((h0 + t * {TURN}) / 2)), 4) + 0.0 AS qz, round(abs(cos((h0 + t * {TURN}) / 2)), 4) + 0.0 AS qw FROM f")
 def asof_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position linear, rotation along the arc; the quaternion's sign is free, so sizes are told."""
-    d = sides(spark, sf_dir)
-    x, q = interpolated(d)
+    d, x = interpolated(sides(spark, sf_dir))
+    turn = lambda h: pose.from_rpy(F.lit(0.0), F.lit(0.0), F.col(h))
+    d, q = pose.held_slerp(d, "turn", turn("b.h"), turn("a.h"), F.col("s"))
     return d.select("event_id", (F.round(x, 5) + 0.0).alias("x"), (F.round(F.abs(q[2]), 4) + 0.0).alias("qz"), (F.round(F.abs(q[3]), 4) + 0.0).alias("qw"))
 
 
@@ -163,21 +164,21 @@ GAP, TOLERANCE = 86_400_000_000, 7_200_000_000
 )
 def asof_pose_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated over gaps that are short enough; else the nearer sample within tolerance, else null."""
-    d = sides(spark, sf_dir)
+    d, x = interpolated(sides(spark, sf_dir))
     b, a = F.col("before"), F.col("after")
     to_b, to_a = F.col("ts_us") - b["ts"], a["ts"] - F.col("ts_us")
     near = F.when((to_b <= TOLERANCE) & (a.isNull() | (to_b <= to_a)), b["x"]).when(to_a <= TOLERANCE, a["x"])
-    return d.select("event_id", (F.round(F.when(a["ts"] - b["ts"] <= GAP, interpolated(d)[0]).otherwise(near), 5) + 0.0).alias("x"))
+    return d.select("event_id", (F.round(F.when(a["ts"] - b["ts"] <= GAP, x).otherwise(near), 5) + 0.0).alias("x"))
 
 
 @query(f"WITH {PROBED} SELECT event_id, CASE WHEN coalesce(ts_us - bt, nt - ts_us) <= 3600000000 OR (bt IS NOT NULL AND nt IS NOT NULL) THEN round(x0 + t * (x1 - x0) - (SELECT avg(x) FROM s), 4) + 0.0 END AS x FROM f")
 def truth_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth at a probe's time, relative to the mean of all; null farther than an hour beyond the samples' span."""
-    d = sides(spark, sf_dir)
+    d, x = interpolated(sides(spark, sf_dir))
     mean = samples(spark, sf_dir).filter("stream = 'view'").agg(F.avg("x").alias("mean"))
     beyond = F.coalesce(F.col("ts_us") - F.col("before.ts"), F.col("after.ts") - F.col("ts_us"))
     inside = F.col("before").isNotNull() & F.col("after").isNotNull()
-    return d.join(F.broadcast(mean), how="cross").select("event_id", F.when(inside | (beyond <= 3_600_000_000), F.round(interpolated(d)[0] - F.col("mean"), 4) + 0.0).alias("x"))
+    return d.join(F.broadcast(mean), how="cross").select("event_id", F.when(inside | (beyond <= 3_600_000_000), F.round(x - F.col("mean"), 4) + 0.0).alias("x"))
 
 
 CHAIN = ("click", "view", "purchase")
@@ -202,3 +203,71 @@ def chain_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = lambda i: (F.col(f"e{i}.x"), F.lit(0.0), F.col(f"e{i}.h"))
     x, y, h = pose.compose_planar(place(0), pose.compose_planar(place(1), place(2)))
     return at.select("event_id", *[(F.round(c, 4) + 0.0).alias(n) for n, c in (("x", x), ("y", y), ("cos_heading", F.cos(h)))])
+
+
+# a tree of eleven frames in each recording; a frame's samples change parent now and then
+FRAMES = "(SELECT event_id, user_id % 20 AS rec, event_id % 11 + 1 AS child, CASE WHEN (h * 16)::BIGINT % 5 = 0 THEN (event_id % 11 + 1) // 3 ELSE (event_id % 11 + 1) // 2 END AS parent, ts_us, x, h, stream FROM " + POSES + ")"
+
+
+def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec, child, parent, ts, pose, event_id, stream): planar poses as full ones."""
+    s = samples(spark, sf_dir)
+    child = F.col("event_id") % 11 + 1
+    parent = F.when((F.col("h") * 16) % 5 == 0, F.floor(child / 3)).otherwise(F.floor(child / 2))
+    q = pose.from_rpy(F.lit(0.0), F.lit(0.0), F.col("h"))
+    numbers = dict(zip(chains.POSE, (F.col("x"), F.lit(0.0), F.lit(0.0), *q), strict=True))
+    return s.select("event_id", "stream", (F.col("user_id") % 20).alias("rec"), child.alias("child"), parent.alias("parent"), F.col("ts_us").alias("ts"), *[c.alias(n) for n, c in numbers.items()])
+
+
+@query(
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT rec, child, ts_us, arg_min(parent, event_id) AS parent, arg_min(x, event_id) AS x, arg_min(h, event_id) AS h FROM {FRAMES} WHERE stream <> 'error' GROUP BY rec, child, ts_us),
+    p AS (SELECT event_id, rec, ts_us, c.child FROM {FRAMES} f JOIN (SELECT DISTINCT rec AS r, child FROM s) c ON f.rec = c.r WHERE stream = 'error'),
+    b AS (SELECT p.*, s.ts_us AS bt, s.parent AS bp, s.x AS bx, s.h AS bh FROM p ASOF LEFT JOIN s ON p.rec = s.rec AND p.child = s.child AND p.ts_us >= s.ts_us),
+    n AS (SELECT b.*, s.ts_us AS nt, s.parent AS ap, s.x AS ax, s.h AS ah FROM b ASOF LEFT JOIN s ON b.rec = s.rec AND b.child = s.child AND b.ts_us <= s.ts_us),
+    f AS (SELECT *, CASE WHEN bt IS NULL THEN 1.0 WHEN nt IS NULL THEN 0.0 WHEN bp = ap AND nt > bt THEN (ts_us - bt)::DOUBLE / (nt - bt) WHEN ts_us - bt <= nt - ts_us THEN 0.0 ELSE 1.0 END AS t FROM n),
+    e AS MATERIALIZED (SELECT event_id, child, CASE WHEN bt IS NULL OR (t = 1 AND nt IS NOT NULL) THEN ap ELSE bp END AS parent, coalesce(bx, ax) + t * (coalesce(ax, bx) - coalesce(bx, ax)) AS x,
+        coalesce(bh, ah) + t * atan2(sin(coalesce(ah, bh) - coalesce(bh, ah)), cos(coalesce(ah, bh) - coalesce(bh, ah))) AS h FROM f),
+    walk AS (SELECT event_id, event_id % 11 + 1 AS frame, 0 AS depth, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS h FROM events WHERE event_type = 'error'
+        UNION ALL SELECT w.event_id, e.parent, depth + 1, e.x + cos(e.h) * w.x - sin(e.h) * w.y, sin(e.h) * w.x + cos(e.h) * w.y, e.h + w.h FROM walk w JOIN e ON w.event_id = e.event_id AND w.frame = e.child)
+    SELECT event_id, arg_max(frame, depth) AS root, max(depth)::BIGINT AS depth, round(arg_max(x, depth), 4) + 0.0 AS x, round(arg_max(y, depth), 4) + 0.0 AS y, round(cos(arg_max(h, depth)), 4) + 0.0 AS cos_heading FROM walk GROUP BY event_id"""
+)
+def chain_to_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error's frame in the root of its recording's tree as it stood then: edges interpolated between samples, parents may change."""
+    s = frame_samples(spark, sf_dir)
+    edges = s.filter("stream <> 'error'").groupBy("rec", "child", "ts").agg(F.min_by(F.struct("parent", *chains.POSE), "event_id").alias("e")).select("rec", "child", "ts", "e.*")
+    probes = s.filter("stream = 'error'").select("rec", "event_id", F.col("child").alias("frame"), "ts")
+    out = chains.chains_at(probes, edges, "rec", "event_id", "frame")
+    heading = pose.heading(tuple(F.col(c) for c in chains.POSE[3:]))
+    return out.select("event_id", "root", "depth", *rounded4("x y cos_heading", (F.col("x"), F.col("y"), F.cos(heading))))
+
+
+def rounded4(names: str, columns: tuple[Column, ...]) -> list[Column]:
+    return [(F.round(c, 4) + 0.0).alias(n) for n, c in zip(names.split(), columns, strict=True)]
+
+
+#: Fixed edges: frame c hangs on c // 2 in every recording, at a place that depends on c alone; in recording r, frame r % 9 + 2 moves and frame 11 has two parents if r % 4 = 0.
+MOUNT = """(SELECT user_id % 20 AS rec, event_id % 11 + 1 AS child, CASE WHEN event_id % 11 = 10 AND user_id % 20 % 4 = 0 AND event_id % 2 = 0 THEN 1 ELSE (event_id % 11 + 1) // 2 END AS parent, event_id,
+    (event_id % 11 + 1)::DOUBLE / 2 + CASE WHEN event_id % 11 + 1 = user_id % 20 % 9 + 2 THEN event_id / 1000.0 ELSE 0 END AS x, (event_id % 11)::DOUBLE / 7 AS h FROM events)"""
+
+
+@query(
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT rec, child, count(DISTINCT parent) AS n, min(parent) AS parent, max(x) - min(x) <= 1e-9 AS still, min(x) AS x, min(h) AS h FROM {MOUNT} GROUP BY rec, child),
+    walk AS (SELECT DISTINCT rec, child AS start, child AS frame, 0 AS depth, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS h FROM s
+        UNION ALL SELECT w.rec, start, s.parent, depth + 1, s.x + cos(s.h) * w.x - sin(s.h) * w.y, sin(s.h) * w.x + cos(s.h) * w.y, s.h + w.h FROM walk w JOIN s ON w.rec = s.rec AND w.frame = s.child WHERE w.frame <> 1 AND s.n = 1 AND s.still),
+    top AS (SELECT rec, start, arg_max(frame, depth) AS frame, max(depth) AS depth, arg_max(x, depth) AS x, arg_max(y, depth) AS y, arg_max(h, depth) AS h FROM walk GROUP BY rec, start),
+    v AS (SELECT t.*, CASE WHEN t.frame = 1 THEN 'fixed' WHEN n > 1 THEN 'two parents' WHEN NOT still THEN 'moves' ELSE 'not under' END AS verdict FROM top t LEFT JOIN s ON t.rec = s.rec AND t.frame = s.child)
+    SELECT rec, start, verdict, CASE WHEN verdict = 'fixed' THEN depth::BIGINT END AS depth, CASE WHEN verdict = 'fixed' THEN round(x, 4) + 0.0 END AS x, CASE WHEN verdict = 'fixed' THEN round(y, 4) + 0.0 END AS y,
+    CASE WHEN verdict = 'fixed' THEN round(cos(h), 4) + 0.0 END AS cos_heading FROM v"""
+)
+def mount_to_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed pose of each frame in frame 1, or why there is none: an edge on the way moves, or a frame has two parents."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("rec"), (F.col("event_id") % 11 + 1).alias("child"))
+    twice = (F.col("child") == 11) & (F.col("rec") % 4 == 0) & (F.col("event_id") % 2 == 0)
+    x = F.col("child") / 2 + F.when(F.col("child") == F.col("rec") % 9 + 2, F.col("event_id") / 1000).otherwise(0.0)
+    q = pose.from_rpy(F.lit(0.0), F.lit(0.0), (F.col("child") - 1) / 7)
+    numbers = dict(zip(chains.POSE, (x, F.lit(0.0), F.lit(0.0), *q), strict=True))
+    edges = e.select("rec", "child", F.when(twice, F.lit(1)).otherwise(F.floor(F.col("child") / 2)).cast("long").alias("parent"), F.col("event_id").alias("ts"), *[c.alias(n) for n, c in numbers.items()])
+    walks = edges.select("rec", F.col("child").alias("start"), F.lit(1).cast("long").alias("goal")).distinct()
+    out = chains.mounts(edges, walks, "rec")
+    heading = pose.heading(tuple(F.col(c) for c in chains.POSE[3:]))
+    return out.select("rec", "start", "verdict", "depth", *rounded4("x y cos_heading", (F.col("x"), F.col("y"), F.cos(heading))))
