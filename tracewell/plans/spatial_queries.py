@@ -112,3 +112,60 @@ def rotate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT vec_id, x - lag(x) OVER (PARTITION BY label ORDER BY vec_id) AS dx FROM {P}")
 def travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("vec_id", (F.col("x") - F.lag("x").over(Window.partitionBy("label").orderBy("vec_id"))).alias("dx"))
+
+
+# points that were turned by 40 degrees about an oblique axis, moved, and shaken a little
+HALF_TURN = math.radians(20)
+AXIS = (2 / 3, -1 / 3, 2 / 3)
+SHAKEN = f"""(SELECT label, x AS sx, y AS sy, z AS sz, 1.5 + (1 - 2 * (q[2]*q[2] + q[3]*q[3])) * x + 2 * (q[1]*q[2] - q[3]*q[4]) * y + 2 * (q[1]*q[3] + q[2]*q[4]) * z + k[1] / 20 AS tx,
+    -0.5 + 2 * (q[1]*q[2] + q[3]*q[4]) * x + (1 - 2 * (q[1]*q[1] + q[3]*q[3])) * y + 2 * (q[2]*q[3] - q[1]*q[4]) * z + k[2] / 20 AS ty,
+    0.25 + 2 * (q[1]*q[3] - q[2]*q[4]) * x + 2 * (q[2]*q[3] + q[1]*q[4]) * y + (1 - 2 * (q[1]*q[1] + q[2]*q[2])) * z + k[3] / 20 AS tz
+    FROM (SELECT *, [{", ".join(repr(a * math.sin(HALF_TURN)) for a in AXIS)}, {math.cos(HALF_TURN)!r}]::DOUBLE[] AS q FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, CAST(embedding[4:6] AS DOUBLE[]) AS k FROM embeddings)))"""
+COVARIANCES = ", ".join(f"covar_pop(s{a}, t{b}) AS {a}{b}" for a in "xyz" for b in "xyz")
+
+
+@query(
+    f"""WITH RECURSIVE p AS MATERIALIZED {SHAKEN}, c AS (SELECT label, count(*) AS n, avg(sx) AS mx, avg(sy) AS my, avg(sz) AS mz, avg(tx) AS ux, avg(ty) AS uy, avg(tz) AS uz, {COVARIANCES} FROM p GROUP BY label),
+    m AS MATERIALIZED (SELECT *, [[xx + yy + zz, yz - zy, zx - xz, xy - yx], [yz - zy, xx - yy - zz, xy + yx, zx + xz], [zx - xz, xy + yx, yy - xx - zz, yz + zy], [xy - yx, zx + xz, yz + zy, zz - xx - yy]] AS a FROM c),
+    v AS (SELECT label, 0 AS i, [1, 0, 0, 0]::DOUBLE[] AS q FROM m UNION ALL
+        SELECT label, i + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT v.label, i, list_transform([1, 2, 3, 4], lambda r: list_dot_product(a[r]::DOUBLE[], q) + 3 * q[r]) AS w FROM v JOIN m USING (label) WHERE i < 2000)),
+    e AS (SELECT label, [q[2], q[3], q[4], q[1]] AS q FROM (SELECT label, CASE WHEN q[1] < 0 THEN list_transform(q, lambda x: -x) ELSE q END AS q FROM v WHERE i = 2000)),
+    r AS (SELECT m.label, n, q, [[1 - 2*(q[2]*q[2] + q[3]*q[3]), 2*(q[1]*q[2] - q[3]*q[4]), 2*(q[1]*q[3] + q[2]*q[4])], [2*(q[1]*q[2] + q[3]*q[4]), 1 - 2*(q[1]*q[1] + q[3]*q[3]), 2*(q[2]*q[3] - q[1]*q[4])], [2*(q[1]*q[3] - q[2]*q[4]), 2*(q[2]*q[3] + q[1]*q[4]), 1 - 2*(q[1]*q[1] + q[2]*q[2])]] AS o,
+        [mx, my, mz] AS s, [ux, uy, uz] AS t FROM m JOIN e USING (label)),
+    x AS (SELECT label, n, q, o, [t[i] - list_dot_product(o[i]::DOUBLE[], s) FOR i IN [1, 2, 3]] AS t FROM r),
+    d AS (SELECT label, sqrt(avg(list_sum([pow(o[i][1] * sx + o[i][2] * sy + o[i][3] * sz + t[i] - [tx, ty, tz][i], 2) FOR i IN [1, 2, 3]]))) AS rmse FROM p JOIN x USING (label) GROUP BY label)
+    SELECT label, n, round(t[1], 5) + 0.0 AS x, round(t[2], 5) + 0.0 AS y, round(t[3], 5) + 0.0 AS z, round(q[1], 5) + 0.0 AS qx, round(q[2], 5) + 0.0 AS qy, round(q[3], 5) + 0.0 AS qz, round(q[4], 5) + 0.0 AS qw, round(rmse, 5) AS rmse FROM x JOIN d USING (label)"""
+)
+def align_rigid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per scan the rigid transform that carries its points onto the same ones turned, moved and shaken; with the error left."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    q = (*(F.lit(a * math.sin(HALF_TURN)) for a in AXIS), F.lit(math.cos(HALF_TURN)))
+    turned = pose.rotate(q, (e(0), e(1), e(2)))
+    t = [F.lit(m) + x + e(3 + i) / 20 for i, (m, x) in enumerate(zip((1.5, -0.5, 0.25), turned, strict=True))]
+    pairs = table(spark, sf_dir, "embeddings").select("label", *[e(i).alias(f"s{c}") for i, c in enumerate("xyz")], *[x.alias(f"t{c}") for x, c in zip(t, "xyz", strict=True)])
+    out = spatial.aligned(pairs, ["label"], ("sx", "sy", "sz"), ("tx", "ty", "tz"))
+    return out.select("label", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in ("x", "y", "z", "qx", "qy", "qz", "qw")], F.round("rmse", 5).alias("rmse"))
+
+
+# walls along two directions, 23.4 degrees off the axes: a point is as far along as its first element tells, on one of seven lines
+WALL = math.radians(23.4)
+WALLS = f"""(SELECT (floor((m * {math.cos(WALL)!r} - k * {math.sin(WALL)!r}) / 0.02) + 0.5) * 0.02 AS x, (floor((m * {math.sin(WALL)!r} + k * {math.cos(WALL)!r}) / 0.02) + 0.5) * 0.02 AS y
+    FROM (SELECT CASE WHEN vec_id % 2 = 0 THEN x * 20 ELSE vec_id % 7 END AS m, CASE WHEN vec_id % 2 = 0 THEN vec_id % 7 ELSE x * 20 END AS k FROM {P}))"""
+
+
+def scores(degrees: str) -> str:
+    return f"""(SELECT degrees, sum(n * n)::BIGINT AS score FROM (SELECT degrees, count(*) AS n FROM (SELECT d AS degrees, x * cos(radians(-d)) - y * sin(radians(-d)) AS u FROM w, {degrees}) GROUP BY degrees, floor(u / 0.1 + 0.5)
+        UNION ALL SELECT degrees, count(*) FROM (SELECT d AS degrees, x * sin(radians(-d)) + y * cos(radians(-d)) AS v FROM w, {degrees}) GROUP BY degrees, floor(v / 0.1 + 0.5)) GROUP BY degrees)"""
+
+
+@query(
+    f"""WITH w AS MATERIALIZED {WALLS}, c AS MATERIALIZED (SELECT degrees, score, false AS fine FROM {scores("(SELECT unnest(range(90))::DOUBLE AS d)")} ORDER BY score DESC, degrees LIMIT 1),
+    f AS (SELECT degrees, score, true AS fine FROM {scores("(SELECT degrees - 1 + unnest(range(21)) / 10 AS d FROM c)")})
+    SELECT round(degrees, 4) AS degrees, score FROM (SELECT * FROM c UNION ALL SELECT * FROM f) ORDER BY score DESC, fine, degrees LIMIT 1"""
+)
+def wall_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn that brings the walls in line with the axes, to a tenth of a degree."""
+    along = F.col("x") * 20
+    p = points(spark, sf_dir).select(F.when(F.col("vec_id") % 2 == 0, along).otherwise(F.col("vec_id") % 7).alias("m"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") % 7).otherwise(along).alias("k"))
+    p = p.select((F.col("m") * math.cos(WALL) - F.col("k") * math.sin(WALL)).alias("x"), (F.col("m") * math.sin(WALL) + F.col("k") * math.cos(WALL)).alias("y"))
+    return spatial.wall_turn(p, cell=0.02).select(F.round("degrees", 4).alias("degrees"), "score")
