@@ -62,12 +62,41 @@ def test_text(spark):
     assert one(text.link_event(F.lit("RTW: DISASSOC then deauth"))) == "disconnect"
 
 
+def test_listings_with_odd_lines(spark):
+    def parsed(f, lines):
+        return [r.x and tuple(r.x) for r in spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string").orderBy("i").select(f(F.col("line")).alias("x")).collect()]
+
+    ps = ["  12 1   30 pts/0 ann  python3 -m  run", "1 0 5 ? root [kthread]", "1 0 x ? root a", "PID PPID ELAPSED TT USER ARGS", "1 2 3 ? u", "", None, "9 1 2\tpts/1\tbob\tsh -c 'a  b'"]
+    assert parsed(lambda c: text.process(c, F.lit(100)), ps) == [(12, 1, 70, "pts/0", "ann", "python3 -m  run"), (1, 0, 95, None, "root", "[kthread]"), None, None, None, None, None, (9, 1, 98, "pts/1", "bob", "sh -c 'a  b'")]
+    ssh = [
+        "1700.25 host sshd[7]: Accepted publickey for ann from ::ffff:10.0.0.1 port 22 ssh2: ED25519 SHA256:abc", "1700 host sshd-session[8]: Accepted password for bob from 10.0.0.2 port 4000 ssh2", "1700 host sshd[9]: Accepted none for c from h port 5: RSA SHA256:x",
+        "1700 host sshd[9]: Failed password for c from h port 5", "1700 host cron[9]: Accepted none for c from h port 5", "x host sshd[9]: Accepted none for c from h port 5", "1700 host sshd[9]: Accepted none for c from h port many", "", None,
+    ]
+    assert parsed(text.accepted, ssh) == [(1700, 7, "publickey", "ann", "10.0.0.1", 22, "ED25519", "SHA256:abc"), (1700, 8, "password", "bob", "10.0.0.2", 4000, None, None), (1700, 9, "none", "c", "h", 5, "RSA", "SHA256:x"), *[None] * 6]
+    who = ["ann pts/0  2024-03-01 10:30 (10.1.1.1)", "bob tty1   Mar  1 10:30", "carl :0 2024-03-01 10:30 (:0)", "dora pts/1 yesterday 10:30", "dora pts/1", None]
+    at = 1709289000 - 3600
+    assert parsed(lambda c: text.logged_in(c, F.lit(3600), 2024), who) == [("ann", "pts/0", at, "10.1.1.1"), ("bob", "tty1", at, None), ("carl", ":0", at, ":0"), None, None, None]
+    log = [
+        "12:00:01.123 [WAR][net.core   ] late by=[3]", "12:00:01.123 [inf][a]", "2026-10-13T02:03:49.050480Z  WARN net-0 ThreadId(03) zed::net::x: gone: b", "2026-10-13T02:03:49Z ERROR a::b:c: d::e: f", "2026-10-13T02:03:49Z NOTE a::b: f",
+        "12:00 [inf][a] x", "12:00:01.1 inf][a] x", "12:00:01.1 [in f][a] x", "Traceback (most recent call last):", "", None,
+    ]
+    assert parsed(text.console, log) == [("war", "net.core", "late by=[3]"), ("inf", "a", ""), ("war", "zed::net::x", "gone: b"), ("err", "a::b:c", "d::e: f"), *[None] * 7]
+    args = ["/h/u/.vscode-server-insiders-server/x", "/h/u/.cursor-server/bin", "/h/.vscode-insiders-server/n", "vscode-server", None]
+    assert [r.x for r in spark.createDataFrame([(i, a) for i, a in enumerate(args)], "i int, a string").orderBy("i").select(text.editor(F.col("a")).alias("x")).collect()] == ["VS Code", "Cursor", "VS Code", None, None]
+    ips = {"127.0.0.1": "loopback", "[::1]": "loopback", "100.64.1.2": "overlay", "100.63.1.2": "public", "FD7A:115C:A1E0::5": "overlay", "169.254.3.4": "private", "172.31.0.1": "private", "172.32.0.1": "public", "fe80::1": "public", "1.2.3": "name", "1.2.3.4.5": "name", "999.1.1.1": "name", "dead.beef": "name", "a:b": "name", "": "name"}
+    rows = spark.createDataFrame(list(ips.items()), "ip string, want string").withColumn("got", text.address_class(F.col("ip"))).collect()
+    assert [(r.ip, r.got) for r in rows] == [(r.ip, r.want) for r in rows]
+
+
 def test_mutations_refuse(spark):
     rows = spark.createDataFrame([("a", 1, 10), ("b", 2, 20)], "stream string, id long, ts long")
     with pytest.raises(ValueError):
         mutations.rename_stream(rows, {"a": "x y"})
     with pytest.raises(ValueError):
         mutations.rename_stream(rows, {"a": "x", "b": "x"})
+    with pytest.raises(ValueError, match="has a stream"):
+        mutations.rename_stream(rows, {"a": "b"})
+    assert sorted(tuple(r) for r in mutations.rename_stream(rows, {"a": "b", "b": "a"}).collect()) == [("a", 2, 20), ("b", 1, 10)]
     with pytest.raises(ValueError):
         mutations.appended(rows, rows, ["a"], overwrite=False)
     head, tail = mutations.cut_with_carry(rows, 15)

@@ -3,17 +3,22 @@
 On a lake a change of one stream rewrites that stream's partition only; these are the row sets to be written.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import placed
+
 
 def rename_stream(rows: DataFrame, names: dict[str, str], stream: str = "stream") -> DataFrame:
-    """Streams under other names. A name that is no identifier, or two that would be one, is refused; the check reads names given, not rows."""
+    """Streams under other names. A name that is no identifier is refused, and one that two streams would have, whether both are renamed or one has it."""
     for new in names.values():
         if not new.replace("_", "a").isalnum() or new[0].isdigit():
             raise ValueError(f"{new!r} is no stream name")
     if len(set(names.values())) < len(names):
         raise ValueError("two streams would have one name")
+    taken = [new for new in names.values() if new not in names]
+    if taken and not rows.filter(F.col(stream).isin(*taken)).isEmpty():
+        raise ValueError(f"the recording has a stream of the name {' or '.join(taken)}")
     out = F.col(stream)
     for old, new in names.items():
         out = F.when(F.col(stream) == old, new).otherwise(out)
@@ -26,7 +31,7 @@ def without(rows: DataFrame, streams: list[str], stream: str = "stream") -> Data
 
 def copied(rows: DataFrame, source: str, to: str, stream: str = "stream", order: tuple[str, ...] = ("ts",), new_id: str = "id") -> DataFrame:
     """rows and a copy of one stream under another name, its ids numbered anew from 1."""
-    numbered = rows.filter(F.col(stream) == source).withColumn(new_id, F.row_number().over(Window.partitionBy(stream).orderBy(*order)).cast(rows.schema[new_id].dataType))
+    numbered = placed(rows.filter(F.col(stream) == source), [stream], list(order), rank="__i").withColumn(new_id, (F.col("__i") + 1).cast(rows.schema[new_id].dataType)).drop("__i")
     return rows.unionByName(numbered.withColumn(stream, F.lit(to)))
 
 

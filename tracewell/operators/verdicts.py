@@ -25,3 +25,13 @@ def named(grade: Column) -> Column:
 def worse(*grades: Column) -> Column:
     """The worse of grades; a missing one counts as good."""
     return F.greatest(*[F.coalesce(g, F.lit(0)) for g in grades])
+
+
+def comfortable(p95: Column, mbps: Column, offered_bps: Column, latency_ms: float = LATENCY[0], share: float = 0.9) -> Column:
+    """Whether a paced run kept the delay low and nearly all that was offered arrived; an idle or unpaced one did not."""
+    return (offered_bps > 0) & (p95 < latency_ms) & (mbps >= share * offered_bps / 1e6)
+
+
+def scale(n: Column, low: Column, high: Column, least: Column, most: Column, span: float = 1000) -> Column:
+    """How a pool of n numbers is drawn: null if flat, log if none is below 0 and they span that many times the least size other than 0, else linear."""
+    return F.when((n < 2) | (high <= low), None).when((low >= 0) & (most / least > span), "log").otherwise("linear")

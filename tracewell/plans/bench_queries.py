@@ -43,10 +43,10 @@ def best_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.max_by("run", F.struct("mbps", -F.col("run"))).alias("best_run"), F.max("mbps").alias("best"), F.min(F.when(F.col("offered") == 0, F.col("run"))).alias("idle_run"), F.round(F.avg("p50"), 4).alias("mean_p50"))
 
 
-@query(f"SELECT link, arg_max(run, (offered, run)) AS run, max(offered)::BIGINT AS offered FROM {RUNS} WHERE offered > 0 AND p95 < 250 AND mbps >= 0.02 * offered / 1e6 GROUP BY link")
+@query(f"SELECT link, arg_max(run, (offered, run)) AS run, max(offered)::BIGINT AS offered FROM {RUNS} WHERE offered > 0 AND p95 < 100 AND mbps >= 0.9 * offered / 1e6 GROUP BY link")
 def comfortable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per link: the highest paced rate at which the delay stays low and nearly all that is offered arrives."""
-    calm = runs(spark, sf_dir).filter((F.col("offered") > 0) & (F.col("p95") < 250) & (F.col("mbps") >= 0.02 * F.col("offered") / 1e6))
+    calm = runs(spark, sf_dir).filter(verdicts.comfortable(F.col("p95"), F.col("mbps"), F.col("offered")))
     return calm.groupBy("link").agg(F.max_by("run", F.struct("offered", "run")).alias("run"), F.max("offered").cast("long").alias("offered"))
 
 
@@ -124,12 +124,12 @@ def recent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.round(F.avg("value").over(w), 6).alias("mean"), F.count("*").over(w).alias("n"))
 
 
-@query(f"SELECT user_id, CASE WHEN count(*) < 2 OR max(value) <= min(value) THEN NULL WHEN min(value) >= 0 AND max(abs(value)) / min(abs(value)) FILTER (value <> 0) > 20 THEN 'log' ELSE 'linear' END AS scale FROM {E} GROUP BY user_id")
+@query(f"SELECT user_id, CASE WHEN count(*) < 2 OR max(value) <= min(value) THEN NULL WHEN min(value) >= 0 AND max(abs(value)) / min(abs(value)) FILTER (value <> 0) > 1000 THEN 'log' ELSE 'linear' END AS scale FROM {E} GROUP BY user_id")
 def number_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a pool of numbers is scaled: by logarithm when it spans far and has none below 0; not at all when flat."""
     v = F.col("value")
     g = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.min(F.when(v != 0, F.abs(v))).alias("least"), F.max(F.abs(v)).alias("most"))
-    return g.select("user_id", F.when((F.col("n") < 2) | (F.col("hi") <= F.col("lo")), None).when((F.col("lo") >= 0) & (F.col("most") / F.col("least") > 20), "log").otherwise("linear").alias("scale"))
+    return g.select("user_id", verdicts.scale(*map(F.col, ("n", "lo", "hi", "least", "most"))).alias("scale"))
 
 
 @query(f"SELECT stream, n, round(log10(n + 1) / log10(max(n) OVER () + 1), 6) AS fill FROM (SELECT user_id % 10 || stream AS stream, count(*) AS n FROM {E} GROUP BY 1)")

@@ -250,8 +250,8 @@ def session_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     args = F.when(k == 1, "self").when(k == 2, "/home/u/.vscode-server/bin/node").when(k == 3, "/usr/lib/sftp-server").when(k == 4, "rsync -a x y").when(k > 50, F.format_string("run%02d", k))
     p = table(spark, sf_dir, "events").select("user_id", args.alias("args")).groupBy("user_id")
     has = lambda pattern: F.max(F.coalesce(F.col("args").rlike(pattern), F.lit(False)))
-    g = p.agg(has("^self$").alias("own"), has(r"/\.(vscode|cursor|windsurf)-server/").alias("editor"), has("sftp-server").alias("sftp"), F.min(F.when(F.col("args").rlike(r"^(scp|rsync)\s"), F.split("args", r"\s")[0])).alias("copy"), F.min(F.when(F.col("args").startswith("run"), F.col("args"))).alias("top"))
-    what = F.when(F.col("own"), "this check").when(F.col("editor"), "VS Code remote").when(F.col("sftp"), "sftp").when(F.col("copy").isNotNull(), F.col("copy")).when(F.col("user_id") % 5 == 0, "port forwarding only")
+    g = p.agg(has("^self$").alias("own"), F.min(text.editor(F.col("args"))).alias("editor"), has("sftp-server").alias("sftp"), F.min(text.copier(F.col("args"))).alias("copy"), F.min(F.when(F.col("args").startswith("run"), F.col("args"))).alias("top"))
+    what = F.when(F.col("own"), "this check").when(F.col("editor").isNotNull(), F.concat("editor", F.lit(" remote"))).when(F.col("sftp"), "sftp").when(F.col("copy").isNotNull(), F.col("copy")).when(F.col("user_id") % 5 == 0, "port forwarding only")
     what = what.when(F.col("top").isNull(), "nothing running").when(F.col("user_id") % 2 == 0, "interactive shell").otherwise(F.concat(F.lit("command: "), "top"))
     return g.select("user_id", what.alias("what"))
 
