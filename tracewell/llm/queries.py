@@ -111,7 +111,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_byte_bpe": op12_byte_bpe,
     "op13_fill_middle": op13_fill_middle,
 }
+#: The words of documents, each with its place from 1.
+WORDS = r"""d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+    w AS (SELECT doc_id, len(l) AS n, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS p FROM d)"""
+
+
+def windows(n: int) -> str:
+    """The n words from each on, as one text; fewer at a document's end."""
+    return f"string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g{n}"
+
+
+def repeated(n: int) -> str:
+    return f"p <= n - {n - 1} AND count(*) OVER (PARTITION BY doc_id, g{n}, p <= n - {n - 1}) > 1 AS u{n}"
+
+
+def covering(n: int) -> str:
+    return f"max(u{n}::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}"
+
+
+SHARES = repetition.NGRAM_SHARES
+COVERED = (repetition.WINDOW, *SHARES)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_repetition": rf"""WITH {WORDS}, g AS (SELECT *, {", ".join(map(windows, COVERED))} FROM w), u AS (SELECT *, {", ".join(map(repeated, COVERED))} FROM g), c AS (SELECT doc_id, length(w) AS k, {", ".join(map(covering, COVERED))} FROM u),
+        a AS (SELECT doc_id, count(*) AS n_words, sum(k)::BIGINT AS word_chars, sum(c3)::BIGINT AS n_repeat_words, {", ".join(f"sum(k * c{n}) / sum(k) AS s{n}" for n in SHARES)} FROM c GROUP BY doc_id),
+        l AS (SELECT doc_id, line, length(regexp_replace(line, '[ 	-]', '', 'g')) AS k, row_number() OVER (PARTITION BY doc_id, line) AS i FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+        r AS (SELECT doc_id, count(*) AS n_dup_lines, sum(k) AS dup FROM l WHERE k > 0 AND i > 1 GROUP BY doc_id),
+        m AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+            {", ".join(f"coalesce(s{n}, 0.0)::DOUBLE AS dup_{n}gram_share" for n in SHARES)}, (coalesce(dup, 0) / greatest(coalesce(word_chars, 0), 1))::DOUBLE AS dup_line_share FROM d LEFT JOIN a USING (doc_id) LEFT JOIN r USING (doc_id))
+        SELECT *, NOT base_failed AND dup_line_share <= {repetition.LINE_SHARE} AND {" AND ".join(f"dup_{n}gram_share <= {most}::DOUBLE" for n, most in SHARES.items())} AS kept
+        FROM (SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.REPEAT_PERCENT} * n_words AS base_failed FROM m)""",
+    "op10_automaton_dedup": f"""WITH {WORDS}, g AS (SELECT doc_id, p, {windows(20)}, n FROM w), r AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY g20 ORDER BY doc_id, p) AS i FROM g WHERE p <= n - 19) WHERE i > 1),
+        gone AS (SELECT DISTINCT doc_id, p + unnest(range(20)) AS p FROM r), k AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS kept FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, len(l) AS n_words, len(l) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op11_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
         WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
         s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_dot_product(a.q, v.q)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
