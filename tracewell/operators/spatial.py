@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pose
+from .ranges import linear_percentile, placed
 from .settle import settled
 
 
@@ -106,3 +107,17 @@ def wall_turn(points: DataFrame, bin_size: float = 0.1, cell: float | None = Non
     tenths = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.col("best") - 1 + i / 10)
     near = cells.join(F.broadcast(coarse.select(F.col("degrees").alias("best"))), how="cross").withColumn("degrees", F.explode(tenths))  # one row
     return best(coarse.unionByName(peakiness(near, bin_size).withColumn("fine", F.lit(True)))).select("degrees", "score")
+
+
+def arrow_vs_travel(rows: DataFrame, stream: str, ts: str, ties: list[str], least: int = 5, speed: float = 0.2) -> DataFrame:
+    """Per stream of samples (x, y, heading; ts in seconds) the median angle in degrees between heading and travel, over samples that move faster than speed; null with fewer than least, and how many there are.
+
+    Travel at a sample is from the one before to the one after it, so a stream's first and last have none.
+    """
+    at = placed(rows, [stream], [ts, *ties], before={"__bt": ts, "__bx": "x", "__by": "y"}, after={"__at": ts, "__ax": "x", "__ay": "y"})
+    dx, dy = F.col("__ax") - F.col("__bx"), F.col("__ay") - F.col("__by")
+    moving = at.filter(F.sqrt(dx * dx + dy * dy) / F.greatest(F.col("__at") - F.col("__bt"), F.lit(1e-6)) > speed)
+    off = F.col("heading") - F.atan2(dy, dx)
+    turned = settled(moving.select(stream, F.degrees(F.abs(F.atan2(F.sin(off), F.cos(off)))).alias("angle")))
+    n = turned.groupBy(stream).agg(F.count("*").alias("n"))
+    return n.join(linear_percentile(turned, [stream], "angle", 0.5, "angle"), stream).select(stream, F.when(F.col("n") >= least, F.col("angle")).alias("angle"), "n")

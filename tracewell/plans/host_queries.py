@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import hosts
+from ..operators.profile import micros
 from .registry import query, table
 
 NOW = 1_700_000_000
@@ -290,3 +292,55 @@ def logins_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(10)
     return top.select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("place"))
+
+
+# a tree of processes: 2 and up, each the child of a third of its number
+PROCESSES = """(SELECT event_id + 2 AS pid, (event_id + 2) // 3 AS ppid, user_id, CASE event_id % 23 WHEN 0 THEN 'TMUX: server' WHEN 1 THEN '/lib/systemd --user' WHEN 2 THEN '/h/.cursor-server/bin agent host x' WHEN 3 THEN '/h/.vscode-server/x'
+    ELSE 'run the long job number ' || event_id || ' of user ' || user_id END AS args, event_id % 41 = 7 AS opens FROM events)"""
+
+
+@query(
+    f"""WITH RECURSIVE p AS MATERIALIZED {PROCESSES}, c AS (SELECT pid, pid AS anc, ppid AS up, 0 AS depth FROM p UNION ALL SELECT c.pid, p.pid, p.ppid, depth + 1 FROM c JOIN p ON c.up = p.pid),
+    a AS (SELECT c.pid, min(anc) FILTER (opens) AS session, bool_or(lower(args) LIKE 'tmux%') FILTER (depth > 0) AS mux, bool_or(args LIKE '%systemd --user%') FILTER (depth > 0) AS usr,
+        arg_min(anc, depth) FILTER (depth > 0 AND args LIKE '%.cursor-server/%') AS editor FROM c JOIN p ON p.pid = anc GROUP BY c.pid)
+    SELECT p.pid, session, CASE WHEN session IS NOT NULL THEN 'ssh from 10.0.0.' || s.user_id WHEN mux THEN 'tmux/screen' WHEN usr THEN 'systemd user service' WHEN editor IS NOT NULL THEN 'under Cursor pid ' || editor
+    WHEN p.ppid = 1 THEN 'detached (parent is init)' ELSE coalesce(q.args[:30], '?') END AS via FROM p JOIN a USING (pid) LEFT JOIN p s ON s.pid = session LEFT JOIN p q ON q.pid = p.ppid"""
+)
+def process_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each process by the session, multiplexer, service manager, editor or parent that it runs under."""
+    e = table(spark, sf_dir, "events")
+    kind, pid = F.col("event_id") % 23, F.col("event_id") + 2
+    args = F.when(kind == 0, "TMUX: server").when(kind == 1, "/lib/systemd --user").when(kind == 2, "/h/.cursor-server/bin agent host x").when(kind == 3, "/h/.vscode-server/x")
+    args = args.otherwise(F.concat(F.lit("run the long job number "), F.col("event_id").cast("string"), F.lit(" of user "), F.col("user_id").cast("string")))
+    processes = e.select(pid.alias("pid"), F.floor(pid / 3).alias("ppid"), args.alias("args"))
+    sessions = e.filter("event_id % 41 = 7").select(pid.alias("pid"), F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("ip"))
+    return hosts.owners(processes, sessions)
+
+
+@query(
+    f"""SELECT ip, CASE s WHEN 'loopback' THEN 'the machine itself' WHEN 'local' THEN 'this machine' WHEN 'peer' THEN n_name WHEN 'endpoint' THEN n_name WHEN 'overlay' THEN coalesce(note, 'an overlay address of no known peer') WHEN 'seen before' THEN n_name WHEN 'note' THEN note
+        WHEN 'private' THEN 'unknown' ELSE 'unknown (public address)' END AS name, s AS source FROM (SELECT DISTINCT ip, n_name, CASE WHEN k IN (1, 6) AND n_nationkey % 5 = 0 THEN 'a note on ' || ip WHEN k = 4 AND n_nationkey % 3 = 1 THEN 'a note on ' || ip END AS note,
+        CASE WHEN k = 0 THEN 'loopback' WHEN k = 2 AND n_nationkey % 4 = 0 THEN 'local' WHEN k = 5 THEN 'peer' WHEN k = 4 AND n_nationkey % 3 = 0 THEN 'endpoint' WHEN k IN (1, 5) THEN 'overlay' WHEN k = 3 AND n_nationkey % 2 = 0 THEN 'seen before'
+        WHEN (k = 4 AND n_nationkey % 3 = 1) OR (k = 6 AND n_nationkey % 5 = 0) THEN 'note' WHEN k IN (2, 3) THEN 'private' ELSE 'public' END AS s
+        FROM (SELECT c_custkey % 8 AS k, {IPS}[1 + c_custkey % 8] AS ip, c_nationkey FROM customer WHERE c_custkey % 8 <> 3 OR c_nationkey < 16) JOIN nation ON n_nationkey = c_nationkey)"""
+)
+def address_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses by nine ordered rules, with where the name comes from."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    s = F.col("k").cast("string")
+    at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    here = n.filter("k % 4 = 0").select(at("192.168.", s, ".1").alias("ip"))
+    peers = n.select(at("fd7a:115c:a1e0::", s).alias("ip"), F.col("n_name").alias("peer"), F.when(F.col("k") % 3 == 0, at("8.8.", s, ".8")).alias("endpoint"))
+    endpoints = n.filter("k % 2 = 0 AND k < 16").select(at("172.", (F.col("k") + 16).cast("string"), ".0.9").alias("ip"), F.col("n_name").alias("peer"))
+    noted = [at("100.", (F.col("k") + 64).cast("string"), ".3.4"), at("host", s)]
+    notes = n.filter("k % 5 = 0").select(F.explode(F.array(*noted)).alias("ip")).unionByName(n.filter("k % 3 = 1").select(at("8.8.", s, ".8").alias("ip"))).withColumn("note", F.concat(F.lit("a note on "), "ip"))
+    asked = table(spark, sf_dir, "customer").filter("c_custkey % 8 <> 3 OR c_nationkey < 16").select(address().alias("ip"))
+    return hosts.named_addresses(asked, here, peers, endpoints, notes)
+
+
+@query("SELECT user_id % 40 + 100 AS server, arg_min('u' || user_id, (epoch_us(ts), 'u' || user_id)) AS user, count(*) AS panes, min(epoch_us(ts)) AS time FROM events WHERE event_type = 'view' GROUP BY 1")
+def pane_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins of a multiplexer's panes, folded to one row for each server."""
+    origin = F.when(F.col("event_type") == "view", F.format_string("tmux(%d).%d", F.col("user_id") % 40 + 100, F.col("event_id"))).when(F.col("event_type") == "click", "10.0.0.1")
+    e = table(spark, sf_dir, "events")
+    return hosts.panes(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), micros("ts").alias("time"), origin.alias("origin")))

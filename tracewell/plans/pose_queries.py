@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pose
-from ..operators import asof, chains
+from ..operators import asof, chains, spatial
 from ..operators.profile import micros
 from .registry import query, table
 
@@ -271,3 +271,14 @@ def mount_to_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chains.mounts(edges, walks, "rec")
     heading = pose.heading(tuple(F.col(c) for c in chains.POSE[3:]))
     return out.select("rec", "start", "verdict", "depth", *rounded4("x y cos_heading", (F.col("x"), F.col("y"), F.cos(heading))))
+
+
+@query(
+    f"""WITH p AS (SELECT user_id, ts_us, event_id, x, h * 2 AS y, h AS heading FROM {POSES}), w AS (SELECT *, lead(x) OVER o - lag(x) OVER o AS dx, lead(y) OVER o - lag(y) OVER o AS dy, (lead(ts_us) OVER o - lag(ts_us) OVER o) / 1e10 AS dt FROM p WINDOW o AS (PARTITION BY user_id ORDER BY ts_us, event_id)),
+    m AS (SELECT user_id, degrees(abs(atan2(sin(heading - atan2(dy, dx)), cos(heading - atan2(dy, dx))))) AS angle FROM w WHERE dx IS NOT NULL AND sqrt(dx * dx + dy * dy) / greatest(dt, 1e-6) > 0.2)
+    SELECT user_id, CASE WHEN count(*) >= 5 THEN round(median(angle), 4) END AS angle, count(*) AS n FROM m GROUP BY user_id"""
+)
+def heading_vs_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a robot's heading is from the way it goes, while it goes."""
+    s = samples(spark, sf_dir).select("user_id", "event_id", (F.col("ts_us") / 1e10).alias("t"), "x", (F.col("h") * 2).alias("y"), F.col("h").alias("heading"))
+    return spatial.arrow_vs_travel(s, "user_id", "t", ["event_id"]).select("user_id", F.round("angle", 4).alias("angle"), "n")
