@@ -74,6 +74,32 @@ def test_a_fold_that_never_forgets_still_equals_its_loop(spark):
     assert {x.id for x in got.filter("kept").collect()} == want
 
 
+def running_mean(key, state, rows):
+    """A mean over all rows so far, and the gap to the row before: one never forgets, the other needs one row."""
+    n, total, last = state or (0, 0.0, None)
+    values, times = rows.column("v").to_numpy(), rows.column("t").to_pylist()
+    sums = total + np.cumsum(values)
+    out = {"id": rows.column("id"), "mean": sums / (n + np.arange(1, len(values) + 1)), "gap": [b - a if a is not None else None for a, b in zip([last, *times[:-1]], times, strict=True)]}
+    return (n + len(values), float(sums[-1]), times[-1]), out
+
+
+@pytest.mark.parametrize("forgets", [False, True])
+def test_a_fold_of_ones_own_equals_a_loop(spark, forgets):
+    rows = stream_rows(500, 12)
+    want = {}
+    for some in by_stream(rows).values():
+        total, last = 0.0, None
+        for i, x in enumerate(some):
+            total += x[3]
+            want[x[2]] = (total / (i + 1), None if last is None else x[1] - last)
+            last = x[1]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    out = folds.mapped(df, "s", ["t", "id"], running_mean, "id long, mean double, gap long", forgets, parts=5).collect()
+    assert len(out) == len(rows)
+    for x in out:
+        assert math.isclose(x.mean, want[x.id][0], abs_tol=1e-9) and x.gap == want[x.id][1]
+
+
 def test_times_may_be_null(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 6, 3), (None, None, 4)], "s string, t long, id long")
     assert {x.id for x in throttle.throttled(df, "s", "t", 3, ["id"], 2).collect()} == {2}

@@ -1,6 +1,7 @@
 """State machines with timers and the streaming source of logs, against plain code; and whatever the batches are."""
 
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +87,26 @@ def test_panels(spark, tmp_path, n):
     assert p.due() == 12 * S + 1 and p.expire(p.due()) == [(0, 12 * S, 2, "b")]
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_held_rows(spark, tmp_path, n):
+    r, t, rows = random.Random(6), 1000 * S, []
+    for i in range(150):
+        t += r.choice([1, 5, 30]) * S
+        rows.append((t, r.choice("abcdefgh"), "open" if r.random() < 0.04 else "scan", i))
+    make = partial(machines.Held, "open", 300 * S)
+    out = drained(machines.run(fed(spark, tmp_path / "in", rows, "at_us long, who string, stream string, event_id long", n), make, "who", ["stream", "event_id"], machines.Held.schema, "0 seconds"))
+    want = []
+    for key in "abcdefgh":
+        want += [(key, *x) for x in machine(make, [(t, {"stream": s, "event_id": i}) for t, k, s, i in rows if k == key], rows[-1][0])]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    # a later opener after the patience changes nothing; an earlier one drops what was held before it
+    h = make()
+    assert h.row(0, {"stream": "scan", "event_id": 1}) == [] and h.due() == 300 * S and h.expire(h.due()) == [(1,)]
+    assert h.row(400 * S, {"stream": "open", "event_id": 2}) == [] and h.row(401 * S, {"stream": "scan", "event_id": 3}) == [(3,)] and h.due() is None
+    h = make()
+    assert h.row(0, {"stream": "scan", "event_id": 1}) == [] and h.row(9, {"stream": "open", "event_id": 2}) == [] and h.row(9, {"stream": "scan", "event_id": 3}) == [(3,)]
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_broken_trees(spark, tmp_path, n):
     rows = [(0, "r", "odom", "map"), (5 * S, "r", "base", "odom"), (12 * S, "r", "base", "map"), (31 * S, "r", "cam", "rig"), (33 * S, "r", "rig", "base"), (47 * S, "r", "arm", "table"), (52 * S, "s", "a", "b"), (53 * S, "r", "cam", "map"), (200 * S, "s", "b", "c")]

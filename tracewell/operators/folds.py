@@ -86,7 +86,7 @@ def swept(at: DataFrame, stream: str, step: Step, incoming: dict[int, bytes], on
     return [Head(**x) for x in sorted(at.mapInArrow(run, HEAD).toArrow().to_pylist(), key=lambda x: x["part"])]
 
 
-def settled_heads(at: DataFrame, stream: str, step: Step, tally: Tally | None = None) -> tuple[dict[int, bytes], list[Head], int]:
+def settled_heads(at: DataFrame, stream: str, step: Step, tally: Tally | None = None, guesses: int = GUESSES) -> tuple[dict[int, bytes], list[Head], int]:
     """The state with which each range goes on a stream that began before it, the ranges' heads from these, and the rounds it took."""
     heads = {h.part: h for h in swept(at, stream, step, {}, None, tally)}
     parts, began, rounds = sorted(heads), {}, 1
@@ -95,7 +95,7 @@ def settled_heads(at: DataFrame, stream: str, step: Step, tally: Tally | None =
         todo = {q for q in incoming if incoming[q] != began.get(q)}
         if tally is None:  # a range that holds the start of its last stream ends as it did, whatever it begins with
             todo = {q for q in todo if heads[q].first == heads[q].last}
-        if rounds > GUESSES:  # this fold does not forget: only ranges whose start is sure
+        if rounds > guesses:  # this fold does not forget: only ranges whose start is sure
             todo = {q for p, q in zip(parts, parts[1:], strict=False) if q in todo and p not in todo}
         if not todo:
             return incoming, [heads[p] for p in parts], rounds
@@ -130,3 +130,34 @@ def flagged(at: DataFrame, stream: str, step: Step, incoming: dict[int, bytes],
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in at.schema)
     return at.mapInArrow(mark, f"{fields}, `{flag}` boolean").drop(PART)
+
+
+#: turn(key, state, rows): the state after rows of one stream, and what the fold gives for them, as columns by name.
+Turn = Callable[[Any, Any, pa.RecordBatch], tuple[Any, dict[str, Any]]]
+
+
+def mapped(rows: DataFrame, stream: str, order: list[str], turn: Turn, schema: str, forgets: bool = False, parts: int | None = None) -> DataFrame:
+    """What a fold of one's own gives over each stream in order, as a loop over the stream would: rows of schema.
+
+    turn gets a stream's rows in pieces of any size and must not depend on how they are cut; its state, None at first, must pickle. A fold
+    that forgets (a filter, a rate, a last value) runs over all ranges at once; another's state is handed from range to range, so that
+    only the states are sequential: the last pass, which gives the rows, runs all ranges at once again, each from its state. A task that
+    is lost starts its range again from that state. order must tell a stream's rows apart.
+    """
+    at = ranged(rows, [stream], order, parts)
+    incoming, _, _ = settled_heads(at, stream, lambda key, state, some: (turn(key, state, some)[0], np.zeros(0, bool)), guesses=GUESSES if forgets else 0)
+
+    def give(batches):
+        last = state = None
+        for batch in batches:
+            for key, some in runs(batch, stream):
+                if last is None:
+                    part = batch.column(PART)[0].as_py()
+                    state = pickle.loads(incoming[part]) if part in incoming else None
+                elif key != last[0]:
+                    state = None
+                last = (key,)
+                state, out = turn(key, state, some)
+                yield pa.RecordBatch.from_pydict(out)
+
+    return at.mapInArrow(give, schema)

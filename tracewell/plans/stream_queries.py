@@ -108,3 +108,16 @@ def live_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT event_id FROM {E} JOIN (SELECT user_id, min(ts_us) AS opened FROM {E} WHERE stream = 'purchase' GROUP BY 1) USING (user_id) WHERE stream = 'view' AND ts_us >= opened")
 def live_released(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(live.released(rows(spark, sf_dir), "purchase", "view"))
+
+
+PATIENCE = 3 * 86_400_000_000
+
+
+@query(
+    f"""WITH e AS MATERIALIZED (SELECT event_id, user_id, stream, ts_us FROM {E} WHERE stream IN ('purchase', 'view')), h AS (SELECT user_id, min(ts_us) FILTER (stream = 'purchase') AS opened, min(ts_us) FILTER (stream = 'view') + {PATIENCE} AS due, max(ts_us) AS latest FROM e GROUP BY user_id)
+    SELECT event_id FROM e JOIN h USING (user_id) WHERE stream = 'view' AND CASE WHEN opened <= due THEN ts_us >= opened ELSE due <= {MARK} OR latest > due END"""
+)
+def live_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views held until their user's first purchase; all pass where none comes within three days of the first."""
+    e = rows(spark, sf_dir).filter("stream IN ('purchase', 'view')").select("user_id", "at", "stream", "event_id")
+    return drained(machines.run(e, partial(machines.Held, "purchase", PATIENCE), "user_id", ["stream", "event_id"], machines.Held.schema)).select("event_id")

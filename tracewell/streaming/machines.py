@@ -231,3 +231,37 @@ class BrokenTree(Machine):
         out = [(at, kind, ",".join(frames)) for kind, frames in found if kind not in self.complained]
         self.complained |= {kind for kind, _ in found}
         return out
+
+
+class Held(Machine):
+    """Rows held until their key's first opening row: those stamped before it are dropped, the others let out; later ones pass.
+
+    Where none comes within patience_us of the first row held, all are let out and later ones pass, whatever comes then.
+    """
+
+    schema = "event_id long"
+
+    def __init__(self, opens: str, patience_us: int):
+        self.opens, self.patience_us = opens, patience_us
+        self.opened: int | None = None
+        self.free = False
+        self.held: list[tuple[int, int]] = []
+
+    def row(self, at: int, values: dict[str, Any]) -> list[tuple]:
+        if values["stream"] == self.opens:
+            if self.opened is None and not self.free:
+                self.opened = at
+                out, self.held = [(i,) for i, t in self.held if t >= at], []
+                return out
+            return []
+        if self.free or self.opened is not None:
+            return [(values["event_id"],)] if self.free or at >= self.opened else []
+        self.held.append((values["event_id"], at))
+        return []
+
+    def due(self) -> int | None:
+        return self.held[0][1] + self.patience_us if self.held else None
+
+    def expire(self, at: int) -> list[tuple]:
+        out, self.held, self.free = [(i,) for i, _ in self.held], [], True
+        return out
