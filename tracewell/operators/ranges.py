@@ -78,9 +78,13 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Column
     size = base.groupBy(*by).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
     open_ = size.select(*by, "__lo", "__hi", "n", wanted.alias("t")).select(*by, "t.name", F.col("t.rank").alias("__rank"), "__lo", "__hi", "n")
-    open_ = settled(open_.withColumn("__done", F.col("__rank").isNull() | (F.col("__rank") < 0) | (F.col("__rank") >= F.col("n")) | (F.col("__lo") == F.col("__hi"))))
+    open_ = open_.withColumn("__done", F.col("__rank").isNull() | (F.col("__rank") < 0) | (F.col("__rank") >= F.col("n")) | (F.col("__lo") == F.col("__hi")))
+    some = open_.limit(SMALL + 1).collect()
+    few = len(some) <= SMALL
+    # few targets are kept by the driver, which saves a round its files
+    hold = lambda df: rows.sparkSession.createDataFrame(df.collect(), df.schema) if few else settled(df)
+    open_ = rows.sparkSession.createDataFrame(some, open_.schema) if few else settled(open_)
     done = open_.filter("__done")
-    few = open_.count() <= SMALL
     for _ in range(most_rounds):
         open_ = open_.filter("NOT __done")
         if open_.isEmpty():
@@ -98,7 +102,7 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Column
         counted = counted.agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.first("__rank").alias("__rank"), F.first("n").alias("n"))
         upto = F.sum("__c").over(Window.partitionBy(*by, "name").orderBy("__cell"))
         held = counted.withColumn("__upto", upto).filter("__upto > __rank AND __upto - __c <= __rank")
-        open_ = settled(held.select(*by, "name", (F.col("__rank") - F.col("__upto") + F.col("__c")).alias("__rank"), "__lo", "__hi", "n", (F.col("__lo") == F.col("__hi")).alias("__done")))
+        open_ = hold(held.select(*by, "name", (F.col("__rank") - F.col("__upto") + F.col("__c")).alias("__rank"), "__lo", "__hi", "n", (F.col("__lo") == F.col("__hi")).alias("__done")))
         done = done.unionByName(open_.filter("__done"))
     else:
         raise RuntimeError("percentiles did not settle")
