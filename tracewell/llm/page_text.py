@@ -63,6 +63,8 @@ WEAK = "weak"
 MOST_PAGES, LEAST_PAGES, MAIN_SHARE = 0.5, 3, 0.6
 #: Least share of an article's characters that its slots hold, where a host's template is of few pages and where of MANY_PAGES.
 FEW_SHARE, MANY_SHARE, MANY_PAGES = 0.5, 0.2, 8
+#: Bytes of html that a worker parses before it passes its counts on.
+SLICE_BYTES = 1 << 20
 #: Hosts up to which the templates are broadcast (about 1 kB each).
 BROADCAST_HOSTS = 5000
 
@@ -231,6 +233,34 @@ TEXT = "page_id long, url string, text string, n_chars long"
 TEXT_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
+def counted(part: pa.RecordBatch) -> pa.RecordBatch:
+    """What a few pages add to their hosts' token counts."""
+    seen: dict[tuple[str, int, int], list[int]] = {}
+    for i, (name, text) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
+        page = Page(text or "")
+        tags, texts, chars = page.tokens()
+        # two marks of the content among 64 each: tokens of few marks occur in copies of few pages
+        content = page.content()
+        seen_bit, also_bit = 1 << (content & 63), 1 << (content >> 6 & 63)
+        # the page stands for itself in the vector by its id and content
+        own = hash_of(f"{part.column('page_id')[i].as_py()} {len(text or '')}")
+        for kind, counter in ((0, tags), (1, texts)):
+            for token, n in counter.items():
+                row = seen.setdefault((name, kind, token), [0, 0, 0, 0, 0, 0])
+                row[0] ^= (own * (2 * n + 1) + n * K.BASE) & (1 << 64) - 1
+                row[1] += 1
+                row[2] += n
+                row[3] += chars[token] if kind == 0 else 0
+                row[4] |= seen_bit
+                row[5] |= also_bit
+        row = seen.setdefault((name, 2, 0), [0, 0, 0, 0, 0, 0])
+        row[1] += 1
+    keys, values = list(seen), np.array(list(seen.values()), dtype=object).reshape(-1, 6)
+    vector, *marks = (pa.array(values[:, c].astype(U).view(np.int64)) for c in (0, 4, 5))
+    columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), vector]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(values[:, c].astype(np.int64)) for c in (1, 2, 3)), *marks], schema=STATS_SCHEMA)
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) per row of pages.
 
@@ -243,31 +273,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"), host.alias("host"))
 
     def count(parts):
-        for part in parts:
-            seen: dict[tuple[str, int, int], list[int]] = {}
-            for i, (name, text) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
-                page = Page(text or "")
-                tags, texts, chars = page.tokens()
-                # two marks of the content among 64 each: tokens of few marks occur in copies of few pages
-                content = page.content()
-                seen_bit, also_bit = 1 << (content & 63), 1 << (content >> 6 & 63)
-                # the page stands for itself in the vector by its id and content
-                own = path_hash(f"{part.column('page_id')[i].as_py()} {len(text or '')}")
-                for kind, counter in ((0, tags), (1, texts)):
-                    for token, n in counter.items():
-                        row = seen.setdefault((name, kind, token), [0, 0, 0, 0, 0, 0])
-                        row[0] ^= (own * (2 * n + 1) + n * K.BASE) & (1 << 64) - 1
-                        row[1] += 1
-                        row[2] += n
-                        row[3] += chars[token] if kind == 0 else 0
-                        row[4] |= seen_bit
-                        row[5] |= also_bit
-                row = seen.setdefault((name, 2, 0), [0, 0, 0, 0, 0, 0])
-                row[1] += 1
-            keys, values = list(seen), np.array(list(seen.values()), dtype=object).reshape(-1, 6)
-            vector, *marks = (pa.array(values[:, c].astype(U).view(np.int64)) for c in (0, 4, 5))
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), vector]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(values[:, c].astype(np.int64)) for c in (1, 2, 3)), *marks], schema=STATS_SCHEMA)
+        for whole in parts:
+            for at, n in K.batches(whole.column("html"), SLICE_BYTES):
+                yield counted(whole.slice(at, n))
+            K.release()
 
     stats = base.mapInArrow(count, STATS).groupBy("host", "kind", "token").agg(F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("support", "total", "chars")], *[F.bit_or(c).alias(c) for c in ("seen", "also")])
     differ = F.greatest(F.bit_count("seen"), F.bit_count("also")) >= LEAST_PAGES
@@ -288,11 +297,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", sourc
 
     def extract(parts):
         for part in parts:
-            for at, n in K.batches(part.column("html"), 2 << 20):
+            for at, n in K.batches(part.column("html"), SLICE_BYTES):
                 p = part.slice(at, n)
                 texts = []
                 for text, constant, containers, support in zip(*(p.column(c).to_pylist() for c in ("html", "constant", "containers", "support")), strict=True):
                     texts.append(Page(text or "").main_text(set(constant or ()), [(c["token"], c["chars"]) for c in containers or ()], support or 0))
                 yield pa.RecordBatch.from_arrays([p.column("page_id"), p.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=TEXT_SCHEMA)
+            K.release()
 
     return base.join(templates, "host", "left").select("page_id", "url", "html", "constant", "containers", "support").mapInArrow(extract, TEXT)
