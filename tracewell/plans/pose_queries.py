@@ -226,7 +226,8 @@ def frame_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     n AS (SELECT b.*, s.ts_us AS nt, s.parent AS ap, s.x AS ax, s.h AS ah FROM b ASOF LEFT JOIN s ON b.rec = s.rec AND b.child = s.child AND b.ts_us <= s.ts_us),
     f AS (SELECT *, CASE WHEN bt IS NULL THEN 1.0 WHEN nt IS NULL THEN 0.0 WHEN bp = ap AND nt > bt THEN (ts_us - bt)::DOUBLE / (nt - bt) WHEN ts_us - bt <= nt - ts_us THEN 0.0 ELSE 1.0 END AS t FROM n),
     e AS MATERIALIZED (SELECT event_id, child, CASE WHEN bt IS NULL OR (t = 1 AND nt IS NOT NULL) THEN ap ELSE bp END AS parent, coalesce(bx, ax) + t * (coalesce(ax, bx) - coalesce(bx, ax)) AS x,
-        coalesce(bh, ah) + t * atan2(sin(coalesce(ah, bh) - coalesce(bh, ah)), cos(coalesce(ah, bh) - coalesce(bh, ah))) AS h FROM f),
+        CASE WHEN abs(c) > 0.9995 THEN 2 * atan2((1 - t) * sin(h0 / 2) + t * sign(c) * sin(h1 / 2), (1 - t) * cos(h0 / 2) + t * sign(c) * cos(h1 / 2)) ELSE h0 + t * {TURN} END AS h
+        FROM (SELECT *, cos((h1 - h0) / 2) AS c FROM (SELECT *, coalesce(bh, ah) AS h0, coalesce(ah, bh) AS h1 FROM f))),
     walk AS (SELECT event_id, event_id % 11 + 1 AS frame, 0 AS depth, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS h FROM events WHERE event_type = 'error'
         UNION ALL SELECT w.event_id, e.parent, depth + 1, e.x + cos(e.h) * w.x - sin(e.h) * w.y, sin(e.h) * w.x + cos(e.h) * w.y, e.h + w.h FROM walk w JOIN e ON w.event_id = e.event_id AND w.frame = e.child)
     SELECT event_id, arg_max(frame, depth) AS root, max(depth)::BIGINT AS depth, round(arg_max(x, depth), 4) + 0.0 AS x, round(arg_max(y, depth), 4) + 0.0 AS y, round(cos(arg_max(h, depth)), 4) + 0.0 AS cos_heading FROM walk GROUP BY event_id"""
