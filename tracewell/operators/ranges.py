@@ -13,6 +13,8 @@ from .settle import settled
 
 #: Rows that a range is meant to hold at most.
 RANGE_ROWS = 500_000
+#: Rows that are worth a range of their own, however many partitions a shuffle has.
+LEAST_ROWS = 1000
 #: Cells that a round of percentiles divides a stream's values into.
 CELLS = 4096
 #: Targets of percentiles up to which each task gets all of them.
@@ -23,7 +25,8 @@ PART = "__part"
 def ranged(rows: DataFrame, by: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """rows, settled in ranges of (by, order) and sorted in each, with the range's number: ranges of higher numbers come later."""
     if parts is None:
-        parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
+        n = rows.count()
+        parts = max(1, -(-n // RANGE_ROWS), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_ROWS)))
     at = rows.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order)
     return settled(at.withColumn(PART, F.spark_partition_id()))
 
