@@ -169,7 +169,7 @@ def late_silences(folder, hours, n_users=60):
     return con
 
 
-@pytest.mark.parametrize("name", ["live_presence_states", "live_broken_trees", "live_held"])
+@pytest.mark.parametrize("name", ["live_presence_states", "live_tool_panels", "live_broken_trees", "live_held"])
 def test_silence_is_told_when_the_watermark_has_passed_it(spark, tmp_path, name):
     """As the SQL has it: also where a row that came since shows it, and rows of equal time count together."""
     con = late_silences(tmp_path, [0, 48, 72] if name == "live_broken_trees" else [0, 3, 6, 9, 12, 18, 24])
