@@ -176,3 +176,14 @@ def test_silence_is_told_when_the_watermark_has_passed_it(spark, tmp_path, name)
     got = catalog.QUERIES[name](spark, str(tmp_path))
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+@pytest.mark.parametrize("name, n", [("live_tumbling", "n")])
+def test_open_windows_are_told_too(spark, tmp_path, name, n):
+    """The newest rows' windows have not been closed by the watermark; each row is in some window all the same."""
+    con = late_silences(tmp_path, [0, 3, 6, 9, 12, 18, 24])
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted((*x[:-1], float(x[-1])) if name == "live_rates" else x for x in want)
+    few = con.sql("SELECT sum(c) FROM (SELECT count(*) AS c FROM events GROUP BY ts::DATE, event_type HAVING c / 86400.0 >= 0.00005)").fetchall()[0][0]
+    assert got.selectExpr(f"CAST(sum({n}) AS long)").first()[0] == (few if name == "live_rates" else con.sql("SELECT count(*) FROM events").fetchall()[0][0])
