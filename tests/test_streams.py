@@ -178,7 +178,7 @@ def test_silence_is_told_when_the_watermark_has_passed_it(spark, tmp_path, name)
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
 
 
-@pytest.mark.parametrize("name, n", [("live_tumbling", "n"), ("live_rates", "round(hz * 86400)")])
+@pytest.mark.parametrize("name, n", [("live_tumbling", "n"), ("live_rates", "round(hz * 86400)"), ("live_panels", "n")])
 def test_open_windows_are_told_too(spark, tmp_path, name, n):
     """The newest rows' windows have not been closed by the watermark; each row is in some window all the same."""
     con = late_silences(tmp_path, [0, 3, 6, 9, 12, 18, 24])
