@@ -153,6 +153,27 @@ def test_thinning_of_streams_in_one_range(spark):
     assert thinning.thinned(odd.limit(0), "s", ["t", "id"], ["v"], "size", 300, parts=2).collect() == []
 
 
+@pytest.mark.parametrize("budget", [60, 900, 4000])
+def test_thinning_takes_as_many_passes_whatever_the_ranges(spark, monkeypatch, budget):
+    """Limits that values seldom leave do not forget where a fold began; the ranges are not taken one after the other for that."""
+    r = random.Random(5)
+    rows = [("a", i, i, r.lognormvariate(3, 1), r.randrange(12, 50)) for i in range(3000)]
+    keep, limit = to_budget([x[3:4] for x in rows], [x[4] for x in rows], budget)
+    sweeps, swept = [], folds.swept
+    monkeypatch.setattr(folds, "swept", lambda *x: sweeps.append(x) or swept(*x))
+    monkeypatch.setattr(thinning, "BLOCK", 16)
+    out = thinning.thinned(spark.createDataFrame(rows, SCHEMA + ", size int"), "s", ["t", "id"], ["v"], "size", budget, parts=24)
+    assert {x.id: x.limit for x in out.collect()} == {rows[i][2]: limit for i in keep}
+    assert not sweeps
+
+
+def test_thinning_where_every_row_exceeds_all_before_it(spark):
+    rows = [("a", i, i, i * 0.75, 10) for i in range(1500)]
+    keep, limit = to_budget([x[3:4] for x in rows], [x[4] for x in rows], 700)
+    out = thinning.thinned(spark.createDataFrame(rows, SCHEMA + ", size int"), "s", ["t", "id"], ["v"], "size", 700, parts=3)
+    assert {x.id: x.limit for x in out.collect()} == {rows[i][2]: limit for i in keep}
+
+
 @pytest.mark.parametrize("within", [0, 3, 50, 100_000])
 def test_suppression_equals_a_loop(spark, within):
     rows = [(s, t, i, float(round(v))) for s, t, i, v in stream_rows(500, 4, span=3000)]
