@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -105,3 +107,18 @@ def test_query(spark, library):
             "doc_id": d.doc_id, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
             "decoded_sha256": hashlib.sha256((d.text or "").encode()).hexdigest(),
         }
+
+
+def test_well_formed_text_is_not_decoded_byte_by_byte(monkeypatch):
+    """Tokens that are parts of characters do not send what is around them through the state machine."""
+    ranks = byte_bpe.ranks_of(PATH)
+    text = "plain words \u0e01\U0001f9ff\u0f40 and more " * 50
+    ids = ranks.encode(pa.array([text]))[0]
+    ids = np.frombuffer(b"".join(ids), np.int32).tolist()
+    steps, run = [], byte_bpe._run
+    monkeypatch.setattr(byte_bpe, "_run", lambda data, state: steps.append(len(data)) or run(data, state))
+    for size in (len(ids), 7, 1):
+        steps.clear()
+        decoder = byte_bpe.StreamDecoder(ranks)
+        assert "".join(decoder.feed(ids[i : i + size]) for i in range(0, len(ids), size)) + decoder.finish() == text
+        assert max(steps, default=0) <= 4

@@ -276,14 +276,14 @@ class StreamDecoder:
         self.ranks, self.state, self.held = ranks, START, b""
 
     def feed(self, ids: list[int]) -> str:
-        data = b"".join([self.ranks.token[i] for i in ids])
-        if self.state == START and self.ranks.whole[ids].all():
+        data = self.held + b"".join([self.ranks.token[i] for i in ids])
+        self.state, self.held = START, b""
+        try:
             return data.decode("utf-8")
-        self.state, done = _run(data, self.state)
-        if not done and self.state != START:
-            self.held += data
-            return ""
-        out, self.held = self.held + data[:done], data[done:]
+        except UnicodeDecodeError as e:
+            sound = e.start  # up to here all is well-formed; only the rest is gone through byte by byte
+        self.state, done = _run(data[sound:], START)
+        out, self.held = data[: sound + done], data[sound + done :]
         return out.decode("utf-8", "replace")
 
     def finish(self) -> str:
