@@ -130,3 +130,20 @@ def test_clashing_and_long_lines(spark):
 
 def test_empty(spark):
     assert dedupe_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_no_key_is_sent_twice():
+    r = random.Random(5)
+    lines = ["".join(r.choice("abcdefghijklmnop ") for _ in range(20 + i)) for i in range(60)]
+    key, line, probe, _ = keys([x.encode() for x in lines], 2, 20)
+    sent = list(zip(key.tolist(), line.tolist(), strict=True))
+    assert len(set(sent)) == len(sent) and 0 < probe.sum() < len(sent)
+
+
+def test_all_entries_are_read_once(spark):
+    rows = [(i, x) for i, x in enumerate(["a line of the corpus that another is near to", "a line of the corpus that another is near tu", "nothing like it, and long enough to be asked"])]
+    out = dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string"), blocks=2)
+    assert {r.doc_id for r in out.collect() if r.n_removed_lines} == {1}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the entries that blocks send pass through one step, whose exchange all others read
+    assert plan.count("share(") == 1 and plan.count("meet(") >= 1

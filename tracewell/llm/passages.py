@@ -27,7 +27,7 @@ from .blocks import block_count, by_id, in_blocks
 U = np.uint64
 #: Spans of one key that a task takes together.
 HOT = 4000
-REPEATED, CONTESTED, SPLIT = 1, 2, 3
+CONTESTED, SPLIT = 2, 3
 #: Buckets for each block in which spans meet with their symbols, which take more room than the text they are of.
 SPREAD = 2
 MESSAGE = "kind int, bucket long, block long, idx long, doc long, pos long, head int, count int, key long, data binary"
@@ -85,45 +85,6 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def settle(rows: pa.Table, hot: int) -> list[tuple]:
-    """For messages of one bucket: (block, kind, indices and verdicts)."""
-    blocks, base = rows["block"].to_numpy(), rows["idx"].to_numpy()
-    parts = [np.frombuffer(x, U).reshape(3, -1) for x in rows["data"].to_pylist()]
-    sizes = np.array([p.shape[1] for p in parts])
-    key, pr, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    doc = doc.view(np.int64)
-    row = np.repeat(np.arange(len(parts)), sizes)
-    idx = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + base[row]
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = np.zeros(len(k), bool)
-    same[1:] = k[1:] == k[:-1]
-    same[:-1] |= same[1:].copy()
-    order = order[same]  # keys that more than one message has
-    order = order[np.lexsort((doc[order], pr[order], key[order]))]
-    key, pr, row, idx = key[order], pr[order], row[order], idx[order]
-    if not len(key):
-        return []
-    new_key = np.ones(len(key), bool)
-    new_key[1:] = key[1:] != key[:-1]
-    new = new_key.copy()
-    new[1:] |= pr[1:] != pr[:-1]
-    group = np.cumsum(new_key) - 1
-    prints = np.bincount(group, weights=new).astype(np.int64)[group]
-    verdict = np.where(~new, REPEATED, np.where(prints > hot, SPLIT, np.where(prints > 1, CONTESTED, 0)))
-    keep = verdict > 0
-    row, idx, verdict = row[keep], idx[keep], verdict[keep]
-    order = np.argsort(blocks[row], kind="stable")
-    row, idx, verdict = row[order], idx[order], verdict[order]
-    at = blocks[row]
-    cuts = np.flatnonzero(np.diff(at)) + 1
-    out = []
-    for lo, hi in zip([0, *cuts], [*cuts, len(at)], strict=True):
-        if hi > lo:
-            out.append((int(at[lo]), np.concatenate([idx[lo:hi].astype(U), verdict[lo:hi].astype(U)]).tobytes()))
-    return out
-
-
 def shared(rows: pa.Table, hot: int) -> list[tuple]:
     """For messages of one bucket: (block, indices and verdicts) of the spans whose key another span has."""
     blocks, base = rows["block"].to_numpy(), rows["idx"].to_numpy()
