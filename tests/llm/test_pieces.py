@@ -40,3 +40,14 @@ def test_backtracking_equals_merging():
 
 def test_empty(spark):
     assert encode_decode(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
+
+
+def test_tables_stay_for_their_operator_only():
+    from tracewell.llm import kernels
+
+    own = pieces_of(MODEL)
+    own.encode("the of and")
+    kernels.trim()
+    assert pieces_of(MODEL) is own and own.parts
+    kernels.release()  # as another operator's task does
+    assert pieces_of(MODEL) is not own

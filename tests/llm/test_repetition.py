@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from tracewell.llm.repetition import LINE_SHARE, NGRAM_SHARES, repetition_rules
+from tracewell.llm.repetition import LINE_SHARE, NGRAM_SHARES, measured, repetition_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -51,3 +51,19 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert repetition_rules(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_memory_follows_a_slice_and_not_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(4000))
+    column = pa.array([text] * 400)
+    list(measured(pa.array(range(40)), column.slice(0, 40)))  # tables of powers stay
+    tracemalloc.start()
+    rows = sum(n for _, n, _ in measured(pa.array(range(400)), column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 400 and peak < 80 << 20

@@ -52,6 +52,8 @@ SLIM_SCHEMA = pa.schema([(x, pa.binary() if x == "bits" else pa.int64()) for x i
 BLOCK = 1024
 PAIR = "a long, b long"
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Signatures that a task gathers before it deals them to buckets.
+SENT = 500_000
 SETS = "region long, rep long, elements binary"
 SETS_SCHEMA = pa.schema([("region", pa.int64()), ("rep", pa.int64()), ("elements", pa.binary())])
 BUCKET = "bucket long, sigs binary, names binary, pairs binary"
@@ -250,10 +252,11 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
 
     def batches(parts):
         for part in parts:
-            for at, count in K.batches(part.column("text"), 2 << 20):
+            K.release()
+            for at, count in K.batches(part.column("text"), 1 << 20):
                 rows = part.slice(at, count)
                 yield rows, shingles(rows.column("text"), n)
-            K.release()
+        K.release()
 
     def slim(parts):
         for rows, sets in batches(parts):
@@ -297,7 +300,7 @@ def near_documents(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_
                 sig.append(of)
                 own.append(np.full(len(of), name))
                 held += len(of)
-            if held > 2_000_000:
+            if held > SENT:
                 yield from sent(sig, own)
                 sig, own, held = [], [], 0
             if len(told) > 2_000_000:

@@ -6,7 +6,7 @@ take the longest piece at a position (from an Aho-Corasick automaton), keep it i
 try shorter ones, else step back and mark the position as failed in a bitfield, so that no position fails twice.
 
 No piece of the models in use spans the start of a run of spaces, so texts are cut there and each distinct part is
-encoded once per worker (the table of parts has a bound and is emptied when full). Narrow: nothing is shuffled.
+encoded once per worker (the table of parts has a bound and is emptied when full; another operator's task drops it). Narrow: nothing is shuffled.
 """
 
 import heapq
@@ -24,6 +24,8 @@ SPACE = "▁"
 PARTS = 250_000
 #: Longer parts are rare and not kept.
 PART_CHARS = 64
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 1 << 20
 OUT = "doc_id long, ids array<int>, decoded string"
 OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
@@ -189,13 +191,8 @@ def reference_merge(pieces: Pieces, text: str) -> list[str]:
     return [x for x in at if x]
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def pieces_of(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    return K.kept(path, lambda: Pieces(path))
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,7 +206,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
     def run(batches):
         pieces = pieces_of(model)
         for part in batches:
-            for at, n in K.batches(part.column("text"), 2 << 20):
+            K.trim()
+            for at, n in K.batches(part.column("text"), SLICE_BYTES):
                 ids = [pieces.encode(t or "") for t in part.column("text").slice(at, n).to_pylist()]
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)

@@ -22,6 +22,8 @@ LINE_SHARE = 0.30
 LEAST_WORDS = 50
 #: Greatest percentage of words in repeated windows.
 REPEAT_PERCENT = 50
+#: Bytes of text that are measured together, which takes some forty times as much memory.
+SLICE_BYTES = 1 << 20
 
 OUT_SCHEMA = pa.schema(
     [("doc_id", pa.int64())]
@@ -115,6 +117,13 @@ def measure(ids: pa.Array, column) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, OUT_SCHEMA, strict=True)], schema=OUT_SCHEMA)
 
 
+def measured(ids: pa.Array, column):
+    """(first row, rows, their measures) of a batch, a slice at a time."""
+    K.release()
+    for at, n in K.batches(column, SLICE_BYTES):
+        yield at, n, measure(ids.slice(at, n), column.slice(at, n))
+
+
 def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row of OUT_SCHEMA per row of docs; kept is the verdict.
 
@@ -128,8 +137,8 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     def run(parts):
         for part in parts:
-            for at, n in K.batches(part.column("text")):
-                yield measure(part.column("doc_id").slice(at, n), part.column("text").slice(at, n))
+            for _, _, rows in measured(part.column("doc_id"), part.column("text")):
+                yield rows
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, OUT)
 
@@ -139,8 +148,7 @@ def kept_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(parts):
         for part in parts:
-            column = part.column(text)
-            for at, n in K.batches(column):
-                yield part.slice(at, n).filter(measure(pa.nulls(n, pa.int64()), column.slice(at, n)).column("kept"))
+            for at, n, rows in measured(pa.nulls(part.num_rows, pa.int64()), part.column(text)):
+                yield part.slice(at, n).filter(rows.column("kept"))
 
     return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, docs.withColumn(text, F.col(text).cast("string")).schema)
